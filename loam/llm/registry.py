@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loam.llm import repeated_lines_queries
+from loam.llm import repeated_lines_queries, splitting_queries
 
-MODULES = [repeated_lines_queries]
+MODULES = [repeated_lines_queries, splitting_queries]
 
 
 def queries() -> dict:
