@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loam.llm import leakage_queries, repeated_lines_queries, splitting_queries
+from loam.llm import leakage_queries, packing_queries, repeated_lines_queries, splitting_queries
 
-MODULES = [repeated_lines_queries, splitting_queries, leakage_queries]
+MODULES = [repeated_lines_queries, splitting_queries, packing_queries, leakage_queries]
 
 
 def queries() -> dict:
