@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loam.llm import encoding_repair_queries, leakage_queries, main_body_queries, packing_queries, repeated_lines_queries, splitting_queries
+from loam.llm import encoding_repair_queries, leakage_queries, main_body_queries, packing_queries, pii_queries, repeated_lines_queries, splitting_queries
 
-MODULES = [repeated_lines_queries, encoding_repair_queries, main_body_queries, splitting_queries, packing_queries, leakage_queries]
+MODULES = [repeated_lines_queries, encoding_repair_queries, main_body_queries, splitting_queries, packing_queries, leakage_queries, pii_queries]
 
 
 def queries() -> dict:
