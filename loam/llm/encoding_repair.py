@@ -56,6 +56,7 @@ def _classes() -> np.ndarray:
     c[[0x152, 0x160, 0x17D, 0x178]] = ACCENT_UP
     c[[0x153, 0x161, 0x17E]] = ACCENT
     c[0x370:0x530] = GREEK_CYR
+    c[0x250:0x370] = BOX  # phonetic letters and combining marks: rare in running text, frequent where bytes are misread
     c[0x2000:0x2070] = QUOTE
     c[[0x20AC, 0x2122, 0x192, 0x2C6, 0x2DC]] = QUOTE
     c[0x2190:0x2300] = MATH
@@ -96,6 +97,7 @@ def _neighbours() -> np.ndarray:
     n = np.zeros((26, 26))
     n[np.ix_(_EUROPEAN, _EUROPEAN)] = 0.8
     n[GREEK_CYR, GREEK_CYR] = 0
+    n[ACCENT, ACCENT] = 0.2
     n[LOWER, GREEK_CYR] = n[GREEK_CYR, LOWER] = 0.8
     n[LOWER, ACCENT_UP] = n[LOWER, SIGN] = n[LOWER, MATH] = n[SIGN, LOWER] = 0.8
     n[np.ix_((LOWER, UPPER, ACCENT), _HAN)] = 0.8

@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with texts: shortest-pack-first over the length histogram.
 
 Only the histogram of lengths goes to the driver: at most ``capacity`` rows. There lengths are placed from the longest
-down, each group of equal ones into the packing patterns with the least room that still fits (or into new ones), and
-pattern counts are updated. The patterns, as ranges of ranks within a length, are joined back to the ranked documents.
+down, each group of equal ones into the shortest packs so far, that is the packing patterns with the most room (or into
+new ones where none has room), and pattern counts are updated. The patterns, as ranges of ranks within a length, are joined back to the ranked documents.
 """
 
 from __future__ import annotations
@@ -66,11 +66,11 @@ def pieces_within(counts: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def packing_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def packing_patterns(histogram: dict[int, int], capacity: int, shortest_first: bool = True) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Patterns as ((length, times), ...) with the number of containers packed so, longest lengths first.
 
-    Of all patterns with room for a length, those with the least room are filled first; what finds no room opens new
-    containers with as many of the length as fit.
+    Of all patterns with room for a length, the shortest packs are filled first (the longest ones where
+    ``shortest_first`` is off), one of the length each; what finds no room opens new containers.
     """
     open_by_room: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = defaultdict(list)
     rooms = np.zeros(capacity + 1, dtype=bool)
@@ -78,21 +78,25 @@ def packing_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tup
         left = histogram[length]
         while left:
             fitting = np.flatnonzero(rooms[length:])
-            room = length + int(fitting[0]) if len(fitting) else capacity
+            room = length + int(fitting[-1 if shortest_first else 0]) if len(fitting) else capacity
             if len(fitting):
                 pattern, count = open_by_room[room].pop()
                 rooms[room] = bool(open_by_room[room])
             else:
-                pattern, count = (), left
-            times = min(room // length, left)
-            used = min(count, left // times)
+                # nothing is open: as many containers as the length would fill
+                pattern, count = (), -(-left // (capacity // length))
+            used = min(count, left)
             if used < count and pattern:
                 open_by_room[room].append((pattern, count - used))
                 rooms[room] = True
-            rest = room - times * length
-            open_by_room[rest].append(((*pattern, (length, times)), used))
+            rest = room - length
+            if pattern and pattern[-1][0] == length:
+                pattern = (*pattern[:-1], (length, pattern[-1][1] + 1))
+            else:
+                pattern = (*pattern, (length, 1))
+            open_by_room[rest].append((pattern, used))
             rooms[rest] = True
-            left -= used * times
+            left -= used
     return [x for room in sorted(open_by_room) for x in open_by_room[room]]
 
 
