@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loam.plans import snapshot_queries
+from loam.plans import retrieval_queries, snapshot_queries
 
-MODULES = [snapshot_queries]
-FLAGSHIP = "p2_found"
+MODULES = [retrieval_queries, snapshot_queries]
+FLAGSHIP = "bm25_search_top10"
 
 
 def queries() -> dict:
