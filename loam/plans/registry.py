@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loam.plans import retrieval_queries, snapshot_queries
+from loam.plans import retrieval_queries, snapshot_queries, store_queries
 
-MODULES = [retrieval_queries, snapshot_queries]
+MODULES = [retrieval_queries, store_queries, snapshot_queries]
 FLAGSHIP = "bm25_search_top10"
 
 
