@@ -34,6 +34,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: for work that is slow per row over few large files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables that this process wrote for ``spark``."""
     for owner, path in [x for x in _written if x[0] is spark]:
