@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.textbytes import chunks, code_points, column
+from loam.sources.scratch import spread
 
 #: States expanded for a line at most; a garbled line needs about as many as it was wrongly decoded.
 MAX_STATES = 24
@@ -360,4 +361,4 @@ def repair_values(df: DataFrame, id_column: str, text_column: str, restore: bool
             )
 
     values = df.select(F.col(id_column).cast("long").alias("record_id"), F.col(text_column).alias("text"))
-    return values.where("text is not null and record_id is not null").mapInArrow(rows, "record_id long, restored string, complete boolean")
+    return spread(values.where("text is not null and record_id is not null")).mapInArrow(rows, "record_id long, restored string, complete boolean")

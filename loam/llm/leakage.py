@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.textbytes import chunks, code_points, column
-from loam.sources.scratch import stored
+from loam.sources.scratch import spread, stored
 
 #: The spaced seeds: 1 is a position that counts. Ten of fourteen positions; no two masks ignore the same ones.
 MASKS = ("11101100101111", "11011110011011", "10111011110101")
@@ -125,7 +125,7 @@ def document_hits(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
                     names=["doc_id", "pos", "hash"],
                 )
 
-    return docs.mapInArrow(rows, "doc_id long, pos int, hash long")
+    return spread(docs).mapInArrow(rows, "doc_id long, pos int, hash long")
 
 
 def passage_part(item: np.ndarray, doc: np.ndarray) -> float:

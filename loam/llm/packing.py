@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm.textbytes import column
-from loam.sources.scratch import stored
+from loam.sources.scratch import spread, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Parts into which the documents of one length are spread while they are ranked.
@@ -51,7 +51,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_tokens long")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(rows, "doc_id long, n_tokens long")
 
 
 def pieces_within(counts: DataFrame, capacity: int) -> DataFrame:

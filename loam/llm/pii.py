@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loam.llm.pii_model import SpanModel, fitted
 from loam.llm.pii_spans import FEATURES, TYPES, Span, features, spans
 from loam.llm.textbytes import column
+from loam.sources.scratch import spread
 
 #: What a text shows in place of personal data.
 PLACEHOLDER = "[{}]"
@@ -72,7 +73,7 @@ def personal_data(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["doc_id", "pii_type", "pii_text", "start", "end"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(rows, "doc_id long, pii_type string, pii_text string, start int, end int")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")).mapInArrow(rows, "doc_id long, pii_type string, pii_text string, start int, end int")
 
 
 def redacted(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
@@ -91,4 +92,4 @@ def redacted(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
                 texts[i] = "".join([*parts, texts[i][last:]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "replaced"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, text string, replaced int")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(rows, "doc_id long, text string, replaced int")
