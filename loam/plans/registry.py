@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loam.plans import crawl_queries, page_queries, retrieval_queries, snapshot_queries, store_queries
+from loam.plans import crawl_queries, page_queries, retrieval_queries, show_queries, snapshot_queries, store_queries
 
-MODULES = [retrieval_queries, store_queries, crawl_queries, page_queries, snapshot_queries]
+MODULES = [retrieval_queries, store_queries, crawl_queries, page_queries, show_queries, snapshot_queries]
 FLAGSHIP = "bm25_search_top10"
 
 

@@ -22,9 +22,10 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
-    """The search requests, one row each."""
-    rows = read_table(spark, folder, "search_request").dropDuplicates(["request_id"])
-    return rows.select("request_id", F.col("site_name").alias("site"), "query", "top_k", "threshold", "output_dir")
+    """The search requests, one row each: of one that was sent twice, the first."""
+    row = F.struct("requested_at", "query", "site_name", "top_k", "threshold", "output_dir")
+    rows = read_table(spark, folder, "search_request").groupBy("request_id").agg(F.min(row).alias("r"))
+    return rows.select("request_id", F.col("r.site_name").alias("site"), "r.query", "r.top_k", "r.threshold", "r.output_dir")
 
 
 def tokenize_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,7 +153,7 @@ QUERIES = {
 SQL = {
     "bm25_search_top10": _ranked_sql(f"SELECT DISTINCT hash(site) AS request_id, site, '{QUERY}' AS query, 10 AS top_k, NULL AS threshold FROM raw", "r.site"),
     "bm25_threshold": _ranked_sql("SELECT DISTINCT hash(site) AS request_id, site, '编号 编号 data data zzzz' AS query, 50 AS top_k, 0.05 AS threshold FROM raw", "r.site"),
-    "bm25_batch": _ranked_sql("SELECT DISTINCT ON (request_id) request_id, site_name AS site, query, top_k, threshold FROM search_request ORDER BY request_id", "request_id"),
+    "bm25_batch": _ranked_sql("SELECT DISTINCT ON (request_id) request_id, site_name AS site, query, top_k, threshold FROM search_request ORDER BY request_id, requested_at, query", "request_id"),
     "tokenize_docs": _INDEX + "SELECT doc, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_terms, md5(coalesce(array_to_string(t, ' '), '')) AS digest FROM tok",
     "term_freq": _INDEX + "SELECT doc, term, tf FROM post",
     "doc_freq_idf": _INDEX + "SELECT site, term, df, round(idf, 6) AS idf FROM term",

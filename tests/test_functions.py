@@ -136,3 +136,35 @@ def test_best_window():
     text = "alpha " + "x" * 2000 + " alpha beta beta"
     assert Y.best_window(text, ["alpha", "beta"]) == (2007, 2017)
     assert Y.best_window(text, ["none"]) == (-1, -1)
+
+
+def test_located(spark):
+    from loam.functions import show as W
+
+    text, block = "Intro. " + "Some words, here " * 3 + "the end!", "Some words; here some words here some words here the end"
+    row = spark.createDataFrame([(text, block, "tiny"), (text, "not in the text at all", None)], "t string, b string, s string").select(W.located(F.col("t"), F.col("b")).alias("a"), W.located(F.col("t"), F.col("s")).alias("s")).collect()
+    clean = "".join(c for c in text if c.isalnum())
+    assert (row[0].a.start, row[0].a.end) == (-1, -1)  # letter case counts
+    assert (row[0].s.start, row[1].a.start) == (-1, -1)
+    same = spark.createDataFrame([(text, text[8:])], "t string, b string").select(W.located(F.col("t"), F.col("b")).alias("a")).first().a
+    assert (same.start, same.end) == (6, len(clean))
+
+
+def test_keywords_marks_and_base(spark):
+    from loam.functions import show as W
+
+    assert one(spark, W.keywords(F.col("q")), q="学历证明，ab c") == ["学历证明", "ab", "学历", "历证", "证明", "c"]
+    row = spark.createDataFrame([("a <b> Word word c", "word c")], "s string, q string").select(W.marked(F.col("s"), F.col("q"))).first()
+    assert row[0] == "a &lt;b&gt; <mark>Word</mark> <mark>word</mark> c"
+    df = spark.createDataFrame([("<html><HEAD x><b>", "http://h"), ("<b>", "http://h"), ("<b>", None)], "p string, u string")
+    assert [r[0] for r in df.select(W.with_base(F.col("p"), F.col("u"))).collect()] == ['<html><HEAD x>\n<base href="http://h"><b>', '<base href="http://h">\n<b>', "<b>"]
+
+
+def test_markdown_html():
+    from loam.functions.show import markdown_html
+
+    text = "# T & t\n\npara **b** ~~s~~ [l](http://x) [j](javascript:y)\nmore\n\n- a\n- b\n\n1. c\n\n| h | i |\n| --- | --- |\n| 1 | a\\|b |\n\n```\n<x>\n```\n> q"
+    out = markdown_html(text)
+    for part in ("<h1>T &amp; t</h1>", "<strong>b</strong> <del>s</del> <a href=\"http://x\">l</a> [j](javascript:y)\nmore</p>", "<ul><li>a</li><li>b</li></ul>", "<ol><li>c</li></ol>", "<tr><td>1</td><td>a|b</td></tr>", "<pre><code>&lt;x&gt;</code></pre>", "<blockquote><p>q</p></blockquote>"):
+        assert part in out
+    assert markdown_html("") == ""
