@@ -44,7 +44,7 @@ TEMPLATES = (
     "Contact : {name}, tél. {phone}.", "Mme {name} (numéro de sécurité {id}) a signé.", "M. {name} reçoit au {address}.", "Signé : {name}", "Écrire à {email} ou au {address}.", "Appeler le {phone}.", "Courriel : {email}", "Rédaction : {name}", "Selon {name}, {clause}.",
     "Dossier {order} clos.", "Suivre @{handle} ; ticket {order}.", "Le prix {surname} {small} revient au {course}.", "Numéro masqué : {masked}.", "Le {office} et le {office} coopèrent pendant {small} ans.", "guichet {small}, {office} ({place})", "Selon le {office}, {small} personnes de {place} ont choisi.", "Contact : le {office}.",
 )
-WORDS = ("核验", "了解", "统计", "审议", "批准", "研究", "校验", "规定", "成立", "说明", "附件", "目录", "备注", "合计", "费用", "材料", "调查", "测算", "评估", "汇总", "讨论", "公告", "流程", "考场", "成绩单", "准考证", "报名表", "申请表")
+WORDS = ("核验", "了解", "统计", "审议", "批准", "研究", "校验", "规定", "成立", "说明", "附件", "目录", "备注", "合计", "费用", "材料", "调查", "测算", "评估", "汇总", "讨论", "公告", "流程", "考场", "成绩单", "准考证", "报名表", "申请表", "体检单", "介绍信", "合同书", "意见书", "收据", "登记卡", "照片", "工作证", "发票", "学籍卡", "推荐信", "证明书", "计划书")
 CLAUSES = ("名额已满", "结果维持不变", "共有36份材料", "the list is full", "review takes 12 steps", "it rained 3 days", "la liste est close", "die Liste ist voll", "考点8:30开放", "the desk opens at 9:25")
 ZH_PLACES, ZH_OFFICES = "清源安平宁和永丰长泰临江东阳南山西岭北川", ("招生办", "档案局", "服务中心", "图书馆", "管理处", "评价站", "教育处")
 EN_OFFICES, EN_COURSES = ("Data Office", "Library Board", "Records Desk", "Training Centre", "Examination Unit", "Water Service"), ("Harbour course", "Summit programme", "Cedar scheme", "Beacon examination")
@@ -111,7 +111,7 @@ def _phone(r: random.Random, lang: str) -> str:
 def _id(r: random.Random, lang: str) -> str:
     y, m, d = r.randint(1940, 2008), r.randint(1, 12), r.randint(1, 28)
     if lang == "zh":
-        parts = (str(r.randint(1, 9)) + _digits(r, 5), f"{y}{m:02}{d:02}", _digits(r, 3) + r.choice("0123456789X"))
+        parts = (str(r.randint(1, 9)) + _digits(r, 5), f"{y}{m:02}{d:02}", _digits(r, 3) + r.choice("0123456789Xx"))
         return r.choice(("".join(parts), "".join(parts), " ".join(parts), _wide("".join(parts)), r.choice("EGPD") + r.choice(("", "Z", "A")) + _digits(r, 7)))
     up = lambda: chr(r.randint(65, 90))
     if lang == "en":
@@ -134,7 +134,7 @@ def _address(r: random.Random, lang: str) -> str:
         return towns + han(2) + r.choice(("路", "街", "巷", "大道", "里")) + tail
     a, town = _word(r), _word(r)
     if lang == "en":
-        street = f"{n}{r.choice(('', '', '', 'A', 'B'))}{r.choice((' ', ' ', ', '))}{a} {r.choice(('Street', 'St.', 'Road', 'Rd', 'Lane', 'Avenue', 'Crescent', 'Close'))}"
+        street = f"{n}{r.choice(('', '', '', 'A', 'B'))}{r.choice((' ', ' ', ', '))}{a} {r.choice(('Street', 'St.', 'Road', 'Rd', 'Lane', 'Avenue', 'Crescent', 'Close', 'Yard', 'Grove'))}"
         if r.random() < 0.3:
             street = f"{r.choice(('Flat', 'Unit', 'Apt'))} {r.randint(1, 90)}, " + (street if r.random() < 0.5 else street.lstrip("0123456789AB, "))
         return street + f", {town}" + (f" {chr(r.randint(65, 90))}{chr(r.randint(65, 90))}{r.randint(1, 9)} {r.randint(1, 9)}{chr(r.randint(65, 90))}{chr(r.randint(65, 90))}" if r.random() < 0.4 else "")
@@ -151,6 +151,8 @@ def _email(r: random.Random) -> str:
     form = r.random()
     if form < 0.1:
         return f"{local} [at] {host} [dot] " + tld.replace(".", " [dot] ")
+    if form < 0.15:
+        return f"{local} AT {host} DOT {tld}"
     return local + r.choice(("@", "@", "@", "@", "＠", "(at)", " @ ", "#", " at ")) + f"{host}.{tld}" if form < 0.9 else f"{local}@{host}.{tld}".upper()
 
 

@@ -40,7 +40,10 @@ SURNAMES = frozenset(
 )
 #: Words of notices that stand where a Chinese name could.
 COMMON_WORDS = r"比对|介绍|核验|审议|统计|了解|悉|批准|研究|同意|校验|规定|本人|经理|费用|情况|材料|数据|信息|电话|手机|证件|地址|邮箱|日期|时间|单位|名称|备注|合计|姓名|性别|编号|成立|目录|附件|说明|通知|首页|简介|正文|摘要|结论"
-STREET_EN = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Crescent|Cres|Close|Drive|Dr|Court|Ct|Place|Pl|Square|Sq|Terrace|Way|Hill|Row|Gardens|Boulevard|Blvd|Walk|Mews|Parade|Green)\b\.?"
+#: Last characters of words for documents, fees, bodies and places rather than of given names.
+PAPER_ENDS = "函单表证票件费"
+OBJECT_ENDS = "函单书表证票件费法规则会组员区市县局处科室馆院部所页份稿据款项目录题卷号码"
+STREET_EN = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Crescent|Cres|Close|Drive|Dr|Court|Ct|Place|Pl|Square|Sq|Terrace|Way|Hill|Row|Gardens|Boulevard|Blvd|Walk|Mews|Parade|Green|Yard|Quay|Wharf|Grove|Park|View|Rise|Vale|Circus|Circle|Highway|Parkway|Alley|Gate|Croft|Esplanade|Promenade)\b\.?"
 STREET_FR = r"(?:rue|avenue|av\.|boulevard|bd|chemin|quai|place|impasse|all[ée]e|cours|route|square|passage|sentier|venelle)"
 STREET_DE = r"(?:(?:[Ss]tra(?:ß|ss)e|[Ss]tr\.|[Ww]eg|[Pp]latz|[Aa]llee|[Gg]asse|[Rr]ing|[Uu]fer|[Dd]amm|[Mm]arkt|[Ss]teig|[Cc]haussee))"
 # ---------------------------------------------------------------------------------------------------------------------
@@ -48,14 +51,14 @@ STREET_DE = r"(?:(?:[Ss]tra(?:ß|ss)e|[Ss]tr\.|[Ww]eg|[Pp]latz|[Aa]llee|[Gg]asse
 _D = "[0-9０-９]"
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zà-öø-ÿß"
 _HAN = "[一-鿿]"
-_AT = re.compile(r"\s?[@＠#＃]\s?|\s?[(\[{（【]\s?(?:at|AT|@|a|arobase|艾特)\s?[)\]}）】]\s?|\s(?:AT|at|arobase|艾特)\s(?=[A-Za-z0-9-]+(?:\.|．|\s?[(\[{]))")
+_AT = re.compile(r"\s?[@＠#＃]\s?|\s?[(\[{（【]\s?(?:at|AT|@|a|arobase|艾特)\s?[)\]}）】]\s?|\s(?:AT|at|arobase|艾特)\s(?=[A-Za-z0-9-]+(?:\.|．|\s?[(\[{]|\s(?:dot|DOT|punkt|point)\s))")
 _LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*$")
 _DOT = r"(?:[.．]|\s?[(\[{（]\s?(?:dot|DOT|punkt|point|点)\s?[)\]}）]\s?|\s(?:dot|DOT|punkt|point)\s)"
 _HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,14}}(?![A-Za-z0-9@-])")
 _NUMBER = re.compile(rf"(?:[+＋]\s?)?[(（]?{_D}(?:[ \-./()（）－·]{{0,3}}{_D}){{6,22}}")
 _EXTENSION = re.compile(r"\s?(?:转|分机|ext\.?|x|Durchwahl|App\.?|poste|-)\s?[0-9０-９]{1,5}(?![0-9])", re.IGNORECASE)
-_CODE = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{1,3} ?[0-9]{2}(?:[ -]?[0-9]{1,8}){1,4}(?: ?[A-Z])?|[0-9]{5,17}[A-Z][0-9]{0,4}|[0-9]{6} [0-9]{8} [0-9]{3}[0-9X]|[0-9]{17}X|[0-9]{2} [0-9]{6} [A-Z] [0-9]{3}|[0-9]{2}[A-Z]{2}[0-9]{5}|[A-Z]{1,2}[0-9]{6,9}|[A-Z][A-Z0-9]{8,10})(?![A-Za-z0-9])")
-_WIDE_CODE = re.compile(r"[０-９]{14,17}[０-９Ｘ]")
+_CODE = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{1,3} ?[0-9]{2}(?:[ -]?[0-9]{1,8}){1,4}(?: ?[A-Z])?|[0-9]{5,17}[A-Z][0-9]{0,4}|[0-9]{6} [0-9]{8} [0-9]{3}[0-9Xx]|[0-9]{17}[Xx]|[0-9]{2} [0-9]{6} [A-Z] [0-9]{3}|[0-9]{2}[A-Z]{2}[0-9]{5}|[A-Z]{1,2}[0-9]{6,9}|[A-Z][A-Z0-9]{8,10})(?![A-Za-z0-9])")
+_WIDE_CODE = re.compile(r"[０-９]{14,17}[０-９Ｘｘ]")
 _TOWN = rf"{_HAN}{{2,3}}(?:省|市|县|区|州|镇|乡)"
 _ZH_STREET = re.compile(
     rf"(?:{_TOWN}){{0,3}}(?:{_HAN}{{2}}(?:省|市|县|区|镇|乡)){_HAN}{{1,6}}?(?:大道|路|街|巷|里|道|弄|胡同)\s?{_D}{{1,5}}(?:[-－之]{_D}+)?(?:弄{_D}+)?号?"
@@ -79,7 +82,7 @@ _ZH_RIGHT = re.compile(r"老师|先生|女士|同志|教授|介绍|收(?=[。，
 _ZH_LINE = re.compile(rf"^\s*(?={_HAN}[　·• ]?{_HAN}{{1,2}}\s*$)|\| ?(?={_HAN}[　·• ]?{_HAN}{{1,2}} ?\|)", re.MULTILINE)
 _ZH_BEFORE = re.compile(rf"(?:^|[^一-鿿])({_HAN}[　·• ]?{_HAN}{{1,2}}|{_HAN}{{2,3}})$")
 _NUMBER_CORE = re.compile(r"[0-9０-９][0-9０-９ \-./()（）－·]{5,}[0-9０-９]")
-_CODE_ANCHOR = re.compile(r"[A-Z] ?[0-9]{2}|[0-9]{2} ?[A-Z]|[0-9]{6} [0-9]{8} ")
+_CODE_ANCHOR = re.compile(r"[A-Z] ?[0-9]{2}|[0-9]{2} ?[A-Zx]|[0-9]{6} [0-9]{8} ")
 _ZH_ANCHOR = re.compile(r"(?:路|街|巷|里|大道|道|弄|胡同)\s?[0-9０-９]")
 _LATIN_ANCHOR = re.compile(rf"\b{STREET_EN}|{STREET_DE} [0-9]|[0-9](?: ?(?:bis|ter|quater|[A-D]))?,? {STREET_FR}\b")
 
@@ -114,7 +117,7 @@ def spans(text: str) -> list[Span]:
             _add_latin_name(text, end, out)
         elif use == "L":
             colon = text[end : end + 1] in ("：", ":", "为", "是")
-            for at in {end, end + colon, end + colon + (text[end + colon : end + colon + 1] == " ")}:
+            for at in {end + colon, end + colon + (text[end + colon : end + colon + 1] == " ")}:
                 _add_han_name(text, at, out)
         else:
             m = _ZH_BEFORE.search(text, max(0, end - n - 5), end - n)
@@ -156,19 +159,25 @@ _ZH_PAIR = re.compile(rf"({_HAN}[　·• ]?{_HAN}{{1,2}})、({_HAN}[　·• ]?
 
 
 def _add_email(text: str, at: int, out: set[Span]) -> None:
-    m = _AT.search(text, max(0, at - 1), at + 14)
-    if m:
+    m = _AT.search(text, max(0, at - 1), at + 90)
+    if m and m.start() <= at + 1:
         left = _LOCAL.search(text, max(0, m.start() - 70), m.start())
         right = _HOST.match(text, m.end())
         if left and right:
             out.add(Span(EMAIL, left.start(), right.end()))
 
 
+#: Days as numbers; they are proposed as nothing.
+_DAY = re.compile(r"(?:19|20)[0-9]{2}[-./](?:0?[1-9]|1[0-2])[-./](?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-./](?:0?[1-9]|1[0-2])[-./](?:19|20)[0-9]{2}")
+
+
 def _add_numbers(text: str, start: int, end: int, out: set[Span]) -> None:
     """A run of digit groups as a whole, and without outer groups that a space parts from it."""
     if end < len(text) and (text[end].isalnum() and text[end].isascii()) or start and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "*_"):
         return
     run = text[start:end]
+    if _DAY.fullmatch(run):
+        return
     if text[start] in "(（" and run.count("(") + run.count("（") > run.count(")") + run.count("）"):
         start += 1
         run = text[start:end]
@@ -204,6 +213,10 @@ def _add_latin_name(text: str, at: int, out: set[Span], cue: bool = True) -> Non
         if not gap:
             return
         at = gap.end()
+        # what looks like a title may be an initial
+        untitled = at - len(gap.group().lstrip(".:： \t\n"))
+        if untitled != at:
+            _add_latin_name(text, untitled, out, cue=False)
     m = _LATIN_NAME.match(text, at)
     if m:
         out.add(Span(NAME, *m.span()))
@@ -219,15 +232,16 @@ def _add_han_name(text: str, at: int, out: set[Span]) -> None:
     mid = 1 if text[at + 1 : at + 2] in ("　", "·", "•", " ") else 0
     for n in (1, 2) if mid else (2, 3):
         end = at + n + 2 * mid if mid else at + n
-        if end <= len(text) and all("一" <= c <= "鿿" for c in text[at + 1 + mid : end]) and _ZH_RIGHT.match(text, end) and not _COMMON_WORD.fullmatch(text, at, end):
+        if end <= len(text) and all("一" <= c <= "鿿" for c in text[at + 1 + mid : end]) and _ZH_RIGHT.match(text, end) and text[end - 1] not in PAPER_ENDS and not _COMMON_WORD.fullmatch(text, at, end):
             out.add(Span(NAME, at, end))
 
 
 _CTX = re.compile("|".join(f"({p})" for p in (PHONE_WORDS, ID_WORDS, MAIL_WORDS, ADDRESS_WORDS, NAME_WORDS, NUMBER_WORDS)))
 _AFTER_NUMBER, _AFTER_NAME, _ORG = re.compile(NUMBER_AFTER), re.compile(NAME_AFTER), re.compile(ORGANISATION)
 _GROUPS = re.compile(rf"{_D}+")
+_GROUP_OF_7 = re.compile(rf"{_D}(?:[ .()（）/-]{{0,2}}{_D}){{6,}}")
 _COMMON_WORD = re.compile(COMMON_WORDS)
-FEATURES = 56
+FEATURES = 58
 
 
 _NARROW = {0xFF10 + i: 0x30 + i for i in range(10)} | {0xFF38: "X"}
@@ -272,6 +286,6 @@ def features(text: str, span: Span) -> list[float]:
     han = "一" <= s[:1] <= "鿿"
     before = left[-1:]
     line = text[line_start : stop if stop >= 0 else span.end + 60]
-    f += ["@" in line or "＠" in line or "[at]" in line or "(at)" in line, span.kind == NAME and bool(_COMMON_WORD.search(s))]
+    f += [len(_GROUP_OF_7.findall(line)), s[-1:] in OBJECT_ENDS, "@" in line or "＠" in line or "[at]" in line or "(at)" in line, span.kind == NAME and bool(_COMMON_WORD.search(s))]
     f += [han, han and s[:1] in SURNAMES, (before in "住寄来往至到在于，。：:（(、| 　" if before else True), bool(re.search(r"市|县|区|省", s[3:5])) if han else False, bool(re.search(r"\d{5} [A-ZÀ-Þ]|[A-Z]{1,2}\d[0-9A-Z]? ?\d[A-Z]{2}", s))]
     return [float(x) for x in f]
