@@ -115,8 +115,9 @@ body AS (SELECT site, doc, CASE WHEN starts_with(content, '---') AND strpos(subs
 
 
 def _tokens_sql(text: str) -> str:
-    """Tokens in SQL: runs of ideographs are set apart, then cut into pairs."""
-    runs = rf"regexp_extract_all(regexp_replace(lower({text}), '({_CJK})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+    """Tokens in SQL: runs of ideographs are set apart, then cut into pairs. RE2 knows no class of alphabetic characters;
+    the Hebrew and Arabic vowel points among them are named."""
+    runs = rf"regexp_extract_all(regexp_replace(lower({text}), '({_CJK})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}\x{{345}}\x{{5b0}}-\x{{5bd}}\x{{5bf}}\x{{5c1}}\x{{5c2}}\x{{5c4}}\x{{5c5}}\x{{5c7}}\x{{610}}-\x{{61a}}\x{{64b}}-\x{{657}}\x{{659}}-\x{{65f}}\x{{670}}]+')"
     pairs = f"CASE WHEN regexp_full_match(r, '{_CJK}') THEN list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 2)) ELSE [r] END"
     return f"flatten(list_transform({runs}, lambda r: {pairs}))"
 
