@@ -177,6 +177,13 @@ b AS (SELECT doc, a, z, peak FROM c QUALIFY row_number() OVER (PARTITION BY doc
 x AS (SELECT doc, CASE WHEN z - a + 1 > 15 THEN greatest(peak - 5, 0) ELSE a END AS a, CASE WHEN z - a + 1 > 15 THEN least(peak + 10, z) ELSE z END AS z FROM b)
 SELECT l.doc, CAST(coalesce(a + 1, 0) AS INTEGER) AS start_line, CAST(coalesce(z + 1, 0) AS INTEGER) AS end_line,
        md5(coalesce(array_to_string(ls[CAST(a + 1 AS BIGINT):CAST(z + 1 AS BIGINT)], chr(10)), '')) AS block FROM l LEFT JOIN x USING (doc)""",
+    "highlight_terms": r"""
+WITH r AS (SELECT DISTINCT result_id, matched_block AS b FROM search_result WHERE matched_block IS NOT NULL),
+c AS (SELECT result_id, regexp_replace(regexp_replace(regexp_replace(b, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<https?://[^>]*>', ' ', 'g') AS b FROM r),
+w AS (SELECT result_id, list_filter(list_transform(string_split_regex(b, '[\s\x{0b}|]+'), lambda w: regexp_replace(w, '[^\x{4e00}-\x{9fa5}a-zA-Z0-9]', '', 'g')), lambda w: w <> '') AS ws FROM c),
+l AS (SELECT result_id, ws, flatten(list_transform(ws, lambda w: CASE WHEN length(w) > 8 THEN list_filter(list_transform(range(0, (length(w) + 4) // 5), lambda i: substr(w, i * 5 + 1, 5)), lambda c: length(c) >= 2)
+  WHEN length(w) >= 2 THEN [w] ELSE [] END)) AS long FROM w)
+SELECT DISTINCT result_id, unnest(CASE WHEN len(long) > 0 THEN long ELSE ws END) AS term FROM l""",
     "strip_front_matter": _DOCS + "SELECT raw.doc, md5(body.content) AS body FROM raw LEFT JOIN body USING (doc)",
     "front_matter_fields": r"""
 WITH raw AS (SELECT DISTINCT ON (stored_id) stored_id, file_key AS doc, content FROM stored_doc ORDER BY stored_id),
