@@ -132,8 +132,10 @@ def repeated_line_occurrences(docs: DataFrame) -> DataFrame:
 def without_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the found lines taken out of content: every column of ``docs``, and removed_lines.
 
-    Documents without such lines come out unchanged; a document of nothing else comes out empty, null stays null.
+    Documents without such lines come out unchanged; a document of nothing else comes out empty, null stays null. A
+    column of ``docs`` that is called removed_lines or _drop is replaced.
     """
+    docs = docs.drop("_drop", "removed_lines")
     drop = found.groupBy("stored_id").agg(F.array_sort(F.collect_set("line_no")).alias("_drop"))
     kept = F.filter(F.split("content", "\n", -1), lambda _, i: ~F.array_contains("_drop", i + 1))
     return (

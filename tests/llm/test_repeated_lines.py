@@ -75,7 +75,7 @@ def test_rebuild_holds_new_and_crossed_documents_only(spark):
 
 
 def test_without_lines_keeps_columns_and_nulls(spark):
-    df = spark.createDataFrame([(1, "s", "a\nb\na", "x"), (2, "s", None, "y"), (3, "s", "", "z")], SCHEMA)
+    df = spark.createDataFrame([(1, "s", "a\nb\na", "x", 9), (2, "s", None, "y", 9), (3, "s", "", "z", 9)], SCHEMA + ", _drop int")
     gone = spark.createDataFrame([(1, 1), (1, 3)], "stored_id long, line_no int")
     out = {x.stored_id: (x.content, x.removed_lines, x.extra) for x in R.without_lines(df, gone).collect()}
     assert out == {1: ("b", 2, "x"), 2: (None, 0, "y"), 3: ("", 0, "z")}
