@@ -82,9 +82,10 @@ _ZH_RIGHT = re.compile(r"老师|先生|女士|同志|教授|介绍|收(?=[。，
 _ZH_LINE = re.compile(rf"^\s*(?={_HAN}[　·• ]?{_HAN}{{1,2}}\s*$)|\| ?(?={_HAN}[　·• ]?{_HAN}{{1,2}} ?\|)", re.MULTILINE)
 _ZH_BEFORE = re.compile(rf"(?:^|[^一-鿿])({_HAN}[　·• ]?{_HAN}{{1,2}}|{_HAN}{{2,3}})$")
 _NUMBER_CORE = re.compile(r"[0-9０-９][0-9０-９ \-./()（）－·]{5,}[0-9０-９]")
-_CODE_ANCHOR = re.compile(r"[A-Z] ?[0-9]{2}|[0-9]{2} ?[A-Zx]|[0-9]{6} [0-9]{8} ")
+_TWO_DIGITS = re.compile("[0-9]{2,}")
 _ZH_ANCHOR = re.compile(r"(?:路|街|巷|里|大道|道|弄|胡同)\s?[0-9０-９]")
-_LATIN_ANCHOR = re.compile(rf"\b{STREET_EN}|{STREET_DE} [0-9]|[0-9](?: ?(?:bis|ter|quater|[A-D]))?,? {STREET_FR}\b")
+_DIGIT = re.compile("[0-9]")
+_FR_NUMBER = re.compile(r"[0-9](?: ?(?:bis|ter|quater|[A-D]))?,?$")
 
 # --- fixed values: what makes a place worth a look; the letter says for what
 ANCHORS = {
@@ -92,6 +93,9 @@ ANCHORS = {
     "N": ("Contact", "contact", "sk for", "ccording to", "twice by", " by", "file of", "uthor", "utor", "uteur", "igné", "igned", "gez.", "ausgestellt auf", "gibt", "elon", "Dr", "Ms", "Mr", "Mrs", "Prof", "Mme", "Mlle", "M.", "Herr", "Herrn", "Frau", "—",
           "édaction", "ame:", "om :", "om:", "nterview", "edakteur", "nsprechpartner", "earbeiter", "and Ms", "and Mr", "and Dr", "und Frau", "und Herr", "et Mme", "et M.", " von", " par", "dited", "irector", "anager"),
     "L": ("联系人", "经办人", "申请人", "签发人", "负责人", "报名人", "收件人", "监护人", "公示对象", "获奖者", "获奖者为", "当事人", "患者", "姓名", "作者", "编辑", "审核", "校对", "据", "经", "和", "由"),
+    "E": tuple(f" {w}" for w in "Street St Road Rd Lane Ln Avenue Ave Crescent Cres Close Drive Dr Court Ct Place Pl Square Sq Terrace Way Hill Row Gardens Boulevard Blvd Walk Mews Parade Green Yard Quay Wharf Grove Park View Rise Vale Circus Circle Highway Parkway Alley Gate Croft Esplanade Promenade".split()),
+    "D": tuple(f"{w} " for w in "traße trasse tr. Weg weg Platz platz Allee allee Gasse gasse Ring ring Ufer ufer Damm damm Markt markt Steig steig haussee".split()),
+    "F": tuple(f" {w} " for w in "rue avenue av. boulevard bd chemin quai place impasse allée allee cours route square passage sentier venelle".split()),
     "R": ("老师", "先生", "女士", "同志", "教授", "收。", "收，", "收）", "介绍", "两位"),
 }
 
@@ -115,6 +119,15 @@ def spans(text: str) -> list[Span]:
             _add_email(text, end - n, out)
         elif use == "N":
             _add_latin_name(text, end, out)
+        elif use == "E":
+            if _DIGIT.search(text, max(0, end - 44), end):
+                _add_street(_EN_STREET, text, end - n, end, out)
+        elif use == "D":
+            if _DIGIT.match(text, end):
+                _add_street(_DE_STREET, text, end - n, end, out)
+        elif use == "F":
+            if _FR_NUMBER.search(text, max(0, end - n - 10), end - n):
+                _add_street(_FR_STREET, text, end - n, end, out)
         elif use == "L":
             colon = text[end : end + 1] in ("：", ":", "为", "是")
             for at in {end + colon, end + colon + (text[end + colon : end + colon + 1] == " ")}:
@@ -139,19 +152,17 @@ def spans(text: str) -> list[Span]:
         while m:
             _add_numbers(text, m.start(), m.end(), out)
             m = _NUMBER.search(text, m.end(), core.end())
-    for anchor in _CODE_ANCHOR.finditer(text):
-        for m in _CODE.finditer(text, max(0, anchor.start() - 20), anchor.end() + 24):
-            out.add(Span(ID_NUMBER, *m.span()))
+    for digits in _TWO_DIGITS.finditer(text):
+        at, end = digits.span()
+        before, after = text[max(0, at - 2) : at], text[end : end + 2]
+        if before.strip()[-1:].isupper() or after.strip()[:1].isupper() or after[:1] == "x" or end - at == 6 and after[:1] == " ":
+            for m in _CODE.finditer(text, max(0, at - 20), end + 24):
+                out.add(Span(ID_NUMBER, *m.span()))
     if "０" in text or "９" in text:
         for m in _WIDE_CODE.finditer(text):
             out.add(Span(ID_NUMBER, *m.span()))
     for anchor in _ZH_ANCHOR.finditer(text):
         _add_han_address(text, anchor.start(), out)
-    for anchor in _LATIN_ANCHOR.finditer(text):
-        for pattern in (_EN_STREET, _DE_STREET, _FR_STREET):
-            for m in pattern.finditer(text, max(0, anchor.start() - 44), anchor.end() + 64):
-                if m.start() < anchor.end() and m.end() > anchor.start() and any(c.isdigit() for c in m.group()):
-                    out.add(Span(ADDRESS, *m.span()))
     return sorted(out)
 
 
@@ -207,6 +218,13 @@ def _add_han_address(text: str, anchor: int, out: set[Span]) -> None:
 _TOWN_AT = re.compile(rf"{_HAN}{{2}}[省市县区镇乡]")
 
 
+def _add_street(pattern: re.Pattern, text: str, at: int, end: int, out: set[Span]) -> None:
+    """Addresses around the word for a street at ``at`` to ``end``; they hold a number."""
+    for m in pattern.finditer(text, max(0, at - 44), end + 64):
+        if m.start() < end and m.end() > at and _DIGIT.search(m.group()):
+            out.add(Span(ADDRESS, *m.span()))
+
+
 def _add_latin_name(text: str, at: int, out: set[Span], cue: bool = True) -> None:
     if cue:
         gap = _AFTER_CUE.match(text, at + (text[at : at + 2] in (" :", "\xa0:")))
