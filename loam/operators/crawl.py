@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,15 @@ def markdown_links(pages: DataFrame) -> DataFrame:
     return linked.where(part(F.col("src"), 2) == part(F.col("dst"), 2)).distinct()
 
 
-def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, cap: int | None = PAGE_CAP) -> DataFrame:
+def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int | None, cap: int | None = PAGE_CAP) -> DataFrame:
     """Nodes reached from the seeds (url) along edges (src, dst) with their least depth: url, depth.
 
-    Ends after ``max_depth`` levels, at the first empty one, or with the level that reaches ``cap`` nodes; of that level
+    Ends after ``max_depth`` levels (None: no bound), at the first empty one, or with the level that reaches ``cap`` nodes; of that level
     the first by name are kept, so that the result has ``cap`` nodes. No cap: None.
     """
     seen = stored(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "crawl-seen")
     frontier, total = seen, seen.count()
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         if cap is not None and total >= cap:
             break
         reached = frontier.join(edges, frontier["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()

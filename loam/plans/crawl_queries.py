@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions.urls import normalize_url
 from loam.operators import crawl as C
 from loam.operators import logs as L
-from loam.sources.scratch import shared_folder
+from loam.sources.scratch import shared_folder, stored
 from loam.sources.tables import read_table
 from loam.streaming import log_stream as S
 
@@ -42,6 +43,21 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
     return C.markdown_links(read_table(spark, folder, "page_text").select("url", "content").distinct())
 
 
+def _link_frontier(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "page_text").where("url is not null")
+    edges = stored(page_links(spark, folder), "crawl-edges")  # read once a level
+    return C.breadth_first(edges, pages.select(normalize_url(F.col("url")).alias("url")), None, cap=None)
+
+
+def link_frontier(spark: SparkSession, folder: str) -> DataFrame:
+    """All that the pages' own links reach from the pages of every site, until a level finds nothing new."""
+    return _link_frontier(spark, folder).select("url", "depth")
+
+
+def link_depth_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return C.depth_statistics(_link_frontier(spark, folder))
+
+
 def crawl_log_parse(spark: SparkSession, folder: str) -> DataFrame:
     lines = L.run_log(read_table(spark, folder, "crawl_result").dropDuplicates(["run_id"]))
     return L.parsed(lines).select("run_id", "line_no", "status", "file_name", "url")
@@ -84,7 +100,7 @@ l AS (SELECT run_id, unnest(list_concat(flatten(list_transform(fs, lambda f, i:
   CASE WHEN success THEN [] ELSE [['error', '', ''], ['skip', '', 'https://old.example/2019']] END)) AS x FROM f)
 """
 QUERIES = {
-    f.__name__: f for f in (frontier_bfs, depth_stats, page_links, crawl_log_parse, pre_crawl_log_parse, progress_eta, stream_log_counts, stream_store)
+    f.__name__: f for f in (frontier_bfs, depth_stats, page_links, link_frontier, link_depth_stats, crawl_log_parse, pre_crawl_log_parse, progress_eta, stream_log_counts, stream_store)
 }
 _BFS = f"""
 WITH RECURSIVE p AS (SELECT DISTINCT page_id AS k FROM page_text), n AS (SELECT max(k) AS n FROM p),
@@ -116,3 +132,11 @@ SELECT run, item, CAST(number AS INTEGER) AS number, CAST(least(99, floor(100 *
     "stream_log_counts": _LOG + "SELECT x[1] AS status, count(*) AS lines, count(*) FILTER (x[3] <> '') AS with_url FROM l GROUP BY ALL",
     "stream_store": "SELECT 'new' AS status, CAST(count(DISTINCT (site, file_key)) AS BIGINT) AS files FROM index_entry WHERE snapshot_no = 1 AND file_key IS NOT NULL",
 }
+_NORMAL = r"""lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || regexp_extract(url, '://([^/?#]*)', 1) || coalesce(nullif(rtrim(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '/'), ''), '/') || regexp_extract(url, '^[^?#]*(\?[^#]+)', 1)"""
+_LINK_BFS = f"""
+WITH RECURSIVE e AS ({SQL["page_links"]}),
+b AS (SELECT DISTINCT {_NORMAL} AS url, 0 AS depth FROM page_text WHERE url IS NOT NULL UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth <= (SELECT count(DISTINCT src) FROM e)),
+r AS (SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY url)
+"""
+SQL["link_frontier"] = _LINK_BFS + "SELECT url, depth FROM r"
+SQL["link_depth_stats"] = _LINK_BFS + "SELECT depth, urls, CAST(sum(urls) OVER (ORDER BY depth) AS BIGINT) AS cumulative FROM (SELECT depth, count(*) AS urls FROM r GROUP BY depth)"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loam.operators import crawl as C
 from loam.operators import logs as L
 from loam.operators import store as S
+from loam.plans import crawl_queries as Q
 from loam.sources import documents as D
 from loam.streaming import log_stream as G
 
@@ -54,6 +55,21 @@ def test_markdown_links(spark):
     assert {x.dst for x in C.markdown_links(df).collect()} == {"https://h.com/c", "https://h.com/a/d?q=1", "https://h.com/f"}
 
 
+def test_link_frontier_follows_all_links(spark, tmp_path):
+    """A cycle, a hub, two sites and links to pages that are not stored; a walk without a bound of levels goes to the end."""
+    hub = " ".join(f"[l](/leaf{i})" for i in range(40))
+    pages = [("https://a.com/p0", f"[n](/p1) {hub}"), ("https://a.com/p1", "[back](/p0) [x](https://b.com/q) [new](/gone?x=1#top)"), ("https://b.com/q/", "[n](r)"), (None, "[n](/no)"), ("https://b.com/none", None)]
+    spark.createDataFrame(pages, "url string, content string").write.parquet(f"{tmp_path}/page_text.parquet")
+    got = {x.url: x.depth for x in Q.link_frontier(spark, str(tmp_path)).collect()}
+    stored = {"https://a.com/p0", "https://a.com/p1", "https://b.com/q", "https://b.com/none"}
+    linked = {f"https://a.com/leaf{i}" for i in range(40)} | {"https://a.com/gone?x=1", "https://b.com/q/r"}
+    assert got == {u: 0 for u in stored} | {u: 1 for u in linked}
+    assert [tuple(x) for x in Q.link_depth_stats(spark, str(tmp_path)).orderBy("depth").collect()] == [(0, 4, 4), (1, 42, 46)]
+    chain = spark.createDataFrame([(f"{i:02}", f"{i + 1:02}") for i in range(12)] + [("12", "00")], "src string, dst string")
+    walk = C.breadth_first(chain, spark.createDataFrame([("00",)], "url string"), None, None)
+    assert {x.url: x.depth for x in walk.collect()} == {f"{i:02}": i for i in range(13)}
+
+
 LINES = ["[0] (1/10) Crawling: https://h/a", "  -> New: s/a", "note", "  -> Error: no: luck", "  -> [skip] URL year 2019 < 2024: https://h/b", "  -> Updated: s/b", "  -> Unchanged: s/c", "  -> Error after 3"]
 WANT = [("info", "", "https://h/a"), ("new", "s/a", "https://h/a"), ("info", "", ""), ("error", "", ""), ("skip", "", "https://h/b"), ("updated", "s/b", "https://h/b"), ("unchanged", "s/c", "https://h/b"), ("info", "", "")]
 
