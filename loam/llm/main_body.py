@@ -1,10 +1,10 @@
 """The main body of pages whose text mixes it with menus, notices, lists of other pages and footers.
 
-A page is read as a tree: page, sections, blocks of lines of one form. Prose passes points for its length and commas to
-its block, section and (half) the page, discounted by link density; the best section and those siblings are kept that
-have enough points of their own or hold what belongs to a text: its title and date lines, questions and answers, tables
-and lists that it introduces. What a line's form shows on all pages (does it stand before titles or after the last
-paragraph nearly always?) is counted beforehand.
+A page is read as lines of kinds in a flat row of sections; this is not tree scoring. Between the title and the last text,
+the kind of a line decides: title and date lines, prose, questions and answers, tables and lists that are introduced stay.
+Prose gives its section points for length and commas, discounted by link density; prose of sections with next to no points
+goes. What a line's form shows on all pages (does it stand before titles or after the last paragraph nearly always?) is
+counted beforehand.
 """
 
 from __future__ import annotations
