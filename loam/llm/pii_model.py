@@ -43,6 +43,7 @@ TEMPLATES = (
     "Vorgang {order} ist erledigt.", "{office} und {office} arbeiten {small} Jahre lang zusammen.", "Schalter {small}, {office} ({place})", "Maskiert: {masked}.", "Der {surname}-Preis {small} geht an das {course}.", "Ab {date} nimmt {office} nichts an.", "Fax {phone}, Steuernummer {id}",
     "Contact : {name}, tél. {phone}.", "Mme {name} (numéro de sécurité {id}) a signé.", "M. {name} reçoit au {address}.", "Signé : {name}", "Écrire à {email} ou au {address}.", "Appeler le {phone}.", "Courriel : {email}", "Rédaction : {name}", "Selon {name}, {clause}.",
     "Dossier {order} clos.", "Suivre @{handle} ; ticket {order}.", "Le prix {surname} {small} revient au {course}.", "Numéro masqué : {masked}.", "Le {office} et le {office} coopèrent pendant {small} ans.", "guichet {small}, {office} ({place})", "Selon le {office}, {small} personnes de {place} ont choisi.", "Contact : le {office}.",
+    "电话：{phone} / {phone}", "{id} {phone}", "{name} {phone} {phone}", "Tel: {phone} / {phone}", "Phone {phone} {phone}", "{small} {phone}", "**{phone}**", "{id} / {phone}", "{date} {phone}", "{order} {order}", "{amount} {amount} {small}", "{date} {order}", "Telefon {phone} / {phone}", "Tél. {phone} / {phone}",
 )
 WORDS = ("核验", "了解", "统计", "审议", "批准", "研究", "校验", "规定", "成立", "说明", "附件", "目录", "备注", "合计", "费用", "材料", "调查", "测算", "评估", "汇总", "讨论", "公告", "流程", "考场", "成绩单", "准考证", "报名表", "申请表", "体检单", "介绍信", "合同书", "意见书", "收据", "登记卡", "照片", "工作证", "发票", "学籍卡", "推荐信", "证明书", "计划书")
 CLAUSES = ("名额已满", "结果维持不变", "共有36份材料", "the list is full", "review takes 12 steps", "it rained 3 days", "la liste est close", "die Liste ist voll", "考点8:30开放", "the desk opens at 9:25")

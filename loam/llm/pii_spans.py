@@ -55,7 +55,6 @@ _AT = re.compile(r"\s?[@＠#＃]\s?|\s?[(\[{（【]\s?(?:at|AT|@|a|arobase|艾
 _LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*$")
 _DOT = r"(?:[.．]|\s?[(\[{（]\s?(?:dot|DOT|punkt|point|点)\s?[)\]}）]\s?|\s(?:dot|DOT|punkt|point)\s)"
 _HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,14}}(?![A-Za-z0-9@-])")
-_NUMBER = re.compile(rf"(?:[+＋]\s?)?[(（]?{_D}(?:[ \-./()（）－·]{{0,3}}{_D}){{6,22}}")
 _EXTENSION = re.compile(r"\s?(?:转|分机|ext\.?|x|Durchwahl|App\.?|poste|-)\s?[0-9０-９]{1,5}(?![0-9])", re.IGNORECASE)
 _CODE = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{1,3} ?[0-9]{2}(?:[ -]?[0-9]{1,8}){1,4}(?: ?[A-Z])?|[0-9]{5,17}[A-Z][0-9]{0,4}|[0-9]{6} [0-9]{8} [0-9]{3}[0-9Xx]|[0-9]{17}[Xx]|[0-9]{2} [0-9]{6} [A-Z] [0-9]{3}|[0-9]{2}[A-Z]{2}[0-9]{5}|[A-Z]{1,2}[0-9]{6,9}|[A-Z][A-Z0-9]{8,10})(?![A-Za-z0-9])")
 _WIDE_CODE = re.compile(r"[０-９]{14,17}[０-９Ｘｘ]")
@@ -148,10 +147,7 @@ def spans(text: str) -> list[Span]:
         for m in _NAME_CELL.finditer(text):
             _add_latin_name(text, m.end(), out, cue=False)
     for core in _NUMBER_CORE.finditer(text):
-        m = _NUMBER.search(text, max(0, core.start() - 3), core.end())
-        while m:
-            _add_numbers(text, m.start(), m.end(), out)
-            m = _NUMBER.search(text, m.end(), core.end())
+        _add_numbers(text, core.start(), core.end(), out)
     for digits in _TWO_DIGITS.finditer(text):
         at, end = digits.span()
         before, after = text[max(0, at - 2) : at], text[end : end + 2]
@@ -183,27 +179,41 @@ _DAY = re.compile(r"(?:19|20)[0-9]{2}[-./](?:0?[1-9]|1[0-2])[-./](?:0?[1-9]|[12]
 
 
 def _add_numbers(text: str, start: int, end: int, out: set[Span]) -> None:
-    """A run of digit groups as a whole, and without outer groups that a space parts from it."""
-    if end < len(text) and (text[end].isalnum() and text[end].isascii()) or start and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "*_"):
-        return
-    run = text[start:end]
-    if _DAY.fullmatch(run):
-        return
-    if text[start] in "(（" and run.count("(") + run.count("（") > run.count(")") + run.count("）"):
-        start += 1
-        run = text[start:end]
-    cuts = [start]
-    if " " in run[:6]:
-        cuts += [start + m.end() for m in re.finditer(r"\s+", run) if m.end() < 6]
-    for s in cuts:
-        digits = sum(map(str.isdigit, text[s:end]))
-        if 7 <= digits <= 15:
-            out.add(Span(PHONE, s, end))
-            extension = _EXTENSION.match(text, end)
-            if extension:
-                out.add(Span(PHONE, s, extension.end()))
-        if 8 <= digits <= 18:
-            out.add(Span(ID_NUMBER, s, end))
+    """Every sub-run of consecutive digit groups in a run whose number of digits fits; they overlap."""
+    groups = [m.span() for m in _GROUPS.finditer(text, start, end)]
+    for i, (at, _) in enumerate(groups):
+        lead = _LEAD.search(text, max(0, at - 3), at)
+        first = lead.start() if lead else at
+        if first and text[first - 1].isascii() and (text[first - 1].isalnum() or text[first - 1] in "*_" and _MASK.search(text, max(0, first - 20), first)):
+            continue
+        digits = 0
+        for j in range(i, len(groups)):
+            if j > i and groups[j][0] - groups[j - 1][1] > 3:
+                break
+            to = groups[j][1]
+            digits += to - groups[j][0]
+            if digits > 18:
+                break
+            if digits < 7 or to < len(text) and text[to].isascii() and text[to].isalnum():
+                continue
+            run = text[first:to]
+            if _DAY.fullmatch(run):
+                continue
+            s = first
+            if lead and run.count("(") + run.count("（") > run.count(")") + run.count("）"):
+                s = at if text[first] in "(（" else first
+            if digits <= 15:
+                out.add(Span(PHONE, s, to))
+                extension = _EXTENSION.match(text, to)
+                if extension:
+                    out.add(Span(PHONE, s, extension.end()))
+            if digits >= 8:
+                out.add(Span(ID_NUMBER, s, to))
+
+
+#: What may stand before the first digit group of a number, and digits that are masked up to it.
+_LEAD = re.compile(r"(?:[+＋]\s?)?[(（]$|[+＋]\s?$")
+_MASK = re.compile(r"[0-9０-９][*_-]*[*_]$")
 
 
 def _add_han_address(text: str, anchor: int, out: set[Span]) -> None:
@@ -259,9 +269,29 @@ _AFTER_NUMBER, _AFTER_NAME, _ORG = re.compile(NUMBER_AFTER), re.compile(NAME_AFT
 _GROUPS = re.compile(rf"{_D}+")
 _GROUP_OF_7 = re.compile(rf"{_D}(?:[ .()（）/-]{{0,2}}{_D}){{6,}}")
 _COMMON_WORD = re.compile(COMMON_WORDS)
-FEATURES = 58
+FEATURES = 64
+
+
+#: A digit group next to a span and what parts it from the span.
+_GROUP_LEFT = re.compile(rf"({_D}+)([ \-./()（）－·+＋]{{1,4}})$")
+_GROUP_RIGHT = re.compile(rf"([ \-./()（）－·+＋]{{1,4}})({_D}+)")
+
+
+def _parting(separator: str) -> float:
+    """1: a sign alone, 2: a space alone, 3: a sign between spaces or a plus."""
+    return 2.0 if separator == " " else 1.0 if len(separator) == 1 else 3.0
+
+
+def _beside(left: str, right: str) -> list[float]:
+    """How the digit groups before and after a span are parted from it and how long they are, and other digits there."""
+    before, after = _GROUP_LEFT.search(left), _GROUP_RIGHT.match(right)
+    f = [_parting(before[2]), float(len(before[1]))] if before else [0.0, 0.0]
+    f += [_parting(after[1]), float(len(after[2]))] if after else [0.0, 0.0]
+    run_left, run_right = _RUN_LEFT.search(left), _RUN_RIGHT.match(right)
+    return [*f, float(sum(map(str.isdigit, run_left[0]))), float(sum(map(str.isdigit, run_right[0])))]
 
 
+_RUN_LEFT, _RUN_RIGHT = re.compile(r"[0-9０-９ \-./()（）－·+＋]*$"), re.compile(r"[0-9０-９ \-./()（）－·+＋]*")
 _NARROW = {0xFF10 + i: 0x30 + i for i in range(10)} | {0xFF38: "X"}
 
 
@@ -306,4 +336,5 @@ def features(text: str, span: Span) -> list[float]:
     line = text[line_start : stop if stop >= 0 else span.end + 60]
     f += [len(_GROUP_OF_7.findall(line)), s[-1:] in OBJECT_ENDS, "@" in line or "＠" in line or "[at]" in line or "(at)" in line, span.kind == NAME and bool(_COMMON_WORD.search(s))]
     f += [han, han and s[:1] in SURNAMES, (before in "住寄来往至到在于，。：:（(、| 　" if before else True), bool(re.search(r"市|县|区|省", s[3:5])) if han else False, bool(re.search(r"\d{5} [A-ZÀ-Þ]|[A-Z]{1,2}\d[0-9A-Z]? ?\d[A-Z]{2}", s))]
+    f += _beside(left, right) if span.kind in (PHONE, ID_NUMBER) else [0.0] * 6
     return [float(x) for x in f]

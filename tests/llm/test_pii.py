@@ -56,3 +56,31 @@ def test_overlapping_spans_give_one(model):
     chosen = dict(pii.found_spans(["The applicant lives at Flat 3, 58 Oak Street, Harwick and left."], model))
     for found in chosen.values():
         assert all(a.end <= b.start for a, b in zip(found, found[1:]))
+
+
+#: Numbers side by side, and what is written of each.
+SIDE_BY_SIDE = {
+    "Tel: 0571-88886666 / 13800001111": ("0571-88886666", "13800001111"),
+    "138-1234-5678 010-12345678": ("138-1234-5678", "010-12345678"),
+    "020 7946 0958 / 020 7946 0959": ("020 7946 0958", "020 7946 0959"),
+    "110101199003071234 13812345678": ("110101199003071234", "13812345678"),
+    "Room 2 415-555-0132 2 copies": ("415-555-0132",),
+    "**13812345678**": ("13812345678",),
+    "Call _(0571) 88886666_ now": ("(0571) 88886666",),
+    "+49 30 1234567 / +49 30 7654321": ("+49 30 1234567", "+49 30 7654321"),
+}
+
+
+def test_numbers_side_by_side_are_proposed():
+    for text, numbers in SIDE_BY_SIDE.items():
+        proposed = {text[s.start : s.end] for s in spans(text)}
+        assert set(numbers) <= proposed, text
+    assert not [s for s in spans("142****5678901") if s.kind in (1, 2)]
+    assert not [s for s in spans("2024-05-06") if s.kind in (1, 2)]
+
+
+def test_numbers_side_by_side_are_found(model):
+    texts = ["Tel: 0571-88886666 / 13800001111", "Tel: 020 7946 0958 / 020 7946 0959"]
+    got = dict(pii.found_spans(texts, model))
+    for i, text in enumerate(texts):
+        assert {text[s.start : s.end] for s in got.get(i, [])} == set(SIDE_BY_SIDE.get(text) or SIDE_BY_SIDE[text[5:]])
