@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loam.functions.urls import normalize_url
 from loam.operators import crawl as C
 from loam.operators import logs as L
+from loam.operators.snapshots import hex_value, moment
+from loam.plans.store_queries import _S as _ENTRIES
 from loam.sources.scratch import shared_folder, stored
 from loam.sources.tables import read_table
 from loam.streaming import log_stream as S
@@ -93,6 +95,26 @@ def stream_store(spark: SparkSession, folder: str) -> DataFrame:
     return statuses.where("status = 'new'").groupBy("status").agg(F.sum("files").alias("files"))
 
 
+def stream_store_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """All snapshots merged into one store as a stream, a micro-batch each, in their order: statuses that each batch met.
+
+    The files of a snapshot are put into the stream's folder and worked off before the next ones come, so that a batch
+    holds a whole snapshot in any number of files, and state goes on from the checkpoint.
+    """
+    name = f"store-stream-{uuid.uuid4().hex}"
+    source = f"{shared_folder(spark)}/{name}-in"
+    rows = read_table(spark, folder, "index_entry").where("snapshot_no is not null and site is not null and file_key is not null")
+    numbers = [x[0] for x in rows.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]  # one row a snapshot
+    last = F.struct(moment(F.col("fetch_date")).alias("fetched_at"), "entry_id")  # as in the queries of the store
+    entries = rows.select("site", "file_key", hex_value(F.col("md5")).alias("md5"), last.alias("entry_id"))
+    if not numbers:
+        return spark.createDataFrame([], "batch long, status string, files long")
+    for number in numbers:
+        entries.where(F.col("snapshot_no") == number).write.mode("append").parquet(source)
+        statuses = S.incremental_store(spark, spark.readStream.schema(entries.schema).parquet(source), name)
+    return statuses
+
+
 _LOG = """
 WITH r AS (SELECT DISTINCT ON (run_id) * FROM crawl_result ORDER BY run_id),
 f AS (SELECT run_id, success, coalesce(len(new_files), 0) AS n, list_concat(coalesce(new_files, []), coalesce(updated_files, [])) AS fs FROM r),
@@ -100,7 +122,7 @@ l AS (SELECT run_id, unnest(list_concat(flatten(list_transform(fs, lambda f, i:
   CASE WHEN success THEN [] ELSE [['error', '', ''], ['skip', '', 'https://old.example/2019']] END)) AS x FROM f)
 """
 QUERIES = {
-    f.__name__: f for f in (frontier_bfs, depth_stats, page_links, link_frontier, link_depth_stats, crawl_log_parse, pre_crawl_log_parse, progress_eta, stream_log_counts, stream_store)
+    f.__name__: f for f in (frontier_bfs, depth_stats, page_links, link_frontier, link_depth_stats, crawl_log_parse, pre_crawl_log_parse, progress_eta, stream_log_counts, stream_store, stream_store_snapshots)
 }
 _BFS = f"""
 WITH RECURSIVE p AS (SELECT DISTINCT page_id AS k FROM page_text), n AS (SELECT max(k) AS n FROM p),
@@ -140,3 +162,8 @@ r AS (SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY url)
 """
 SQL["link_frontier"] = _LINK_BFS + "SELECT url, depth FROM r"
 SQL["link_depth_stats"] = _LINK_BFS + "SELECT depth, urls, CAST(sum(urls) OVER (ORDER BY depth) AS BIGINT) AS cumulative FROM (SELECT depth, count(*) AS urls FROM r GROUP BY depth)"
+SQL["stream_store_snapshots"] = _ENTRIES + """,
+k AS (SELECT * FROM s WHERE snapshot_no IS NOT NULL AND site IS NOT NULL AND file_key IS NOT NULL),
+n AS (SELECT snapshot_no, dense_rank() OVER (ORDER BY snapshot_no) - 1 AS batch FROM (SELECT DISTINCT snapshot_no FROM k)),
+p AS (SELECT snapshot_no, md5, row_number() OVER w AS seen, lag(md5) OVER w AS old FROM k WINDOW w AS (PARTITION BY site, file_key ORDER BY snapshot_no))
+SELECT CAST(batch AS BIGINT) AS batch, CASE WHEN seen = 1 THEN 'new' WHEN md5 = old THEN 'unchanged' ELSE 'updated' END AS status, count(*) AS files FROM p JOIN n USING (snapshot_no) GROUP BY ALL"""

@@ -91,6 +91,16 @@ def test_log_stream_gives_the_same(spark, tmp_path):
         assert got == WANT
 
 
+def test_stream_store_merges_all_snapshots(spark, tmp_path):
+    rows = [(1, 1, "a", "1"), (2, 1, "b", "2"), (3, 1, "c", None), (4, 1, "a", "9")]  # within a snapshot the last entry holds
+    rows += [(5, 2, "a", "9"), (6, 2, "b", "3"), (7, 2, "d", "4"), (8, 2, None, "5")]
+    rows += [(9, 5, "b", "3"), (10, 5, "c", None), (11, 5, "d", "6"), (12, None, "z", "7")]  # c is compared with snapshot 1
+    df = spark.createDataFrame([(e, n, "s", k, m, None) for e, n, k, m in rows], "entry_id long, snapshot_no int, site string, file_key string, md5 string, fetch_date string")
+    df.repartition(3).write.parquet(f"{tmp_path}/index_entry.parquet")
+    got = {(x.batch, x.status): x.files for x in Q.stream_store_snapshots(spark, str(tmp_path)).collect()}
+    assert got == {(0, "new"): 3, (1, "unchanged"): 1, (1, "updated"): 1, (1, "new"): 1, (2, "unchanged"): 1, (2, "updated"): 2}
+
+
 def test_discovery_lines(spark):
     df = spark.createDataFrame([(1, 0, "  [pre-crawl] depth=2 found=31 (doc) https://h/x"), (1, 1, "  [pre-crawl] depth=x found=4 done"), (1, 2, "other")], "run_id long, line_no int, line string")
     assert [tuple(x)[2:] for x in L.discovery(df).orderBy("line_no").collect()] == [(2, 31, True, "https://h/x"), (0, 4, False, "")]
