@@ -160,21 +160,27 @@ def passage_part(item: np.ndarray, doc: np.ndarray) -> float:
     starts = np.flatnonzero(new)
     ends = np.concatenate([starts[1:], [len(i)]]) - 1
     runs = sorted(zip(i[starts].tolist(), j[starts].tolist(), (i[ends] + k).tolist(), (j[ends] + k).tolist()))
-    best, chains = 0, []  # a chain: item start, item end, doc end, equal characters
-    for i0, j0, i1, j1 in runs:
+    best = 0
+    chains: dict[int, list[tuple]] = {}  # open chains by the diagonal of their end: item start, item end, doc end, equal characters, number
+    for n, (i0, j0, i1, j1) in enumerate(runs):
         choice = None
-        for c in chains:
-            di, dj = i0 - c[1], j0 - c[2]
-            if -k <= di <= MAX_GAP and -k <= dj <= MAX_GAP and abs(di - dj) <= 6 and (choice is None or c[3] > choice[3]):
-                choice = c
+        for diagonal in range(j0 - i0 - 6, j0 - i0 + 7):
+            alive = chains.get(diagonal)
+            if not alive:
+                continue
+            if any(i0 - c[1] > MAX_GAP for c in alive):
+                chains[diagonal] = alive = [c for c in alive if i0 - c[1] <= MAX_GAP]
+            for c in alive:
+                # of equal ones the oldest
+                if -k <= i0 - c[1] and -k <= j0 - c[2] <= MAX_GAP and (choice is None or (c[3], -c[4]) > (choice[3], -choice[4])):
+                    choice = c
         equal = i1 - i0
         if choice:
             equal = choice[3] + equal - max(0, choice[1] - i0, choice[2] - j0)
-            chain = (choice[0], max(i1, choice[1]), j1, equal)
+            chain = (choice[0], max(i1, choice[1]), j1, equal, n)
         else:
-            chain = (i0, i1, j1, equal)
-        chains = [c for c in chains if i0 - c[1] <= MAX_GAP][-64:]
-        chains.append(chain)
+            chain = (i0, i1, j1, equal, n)
+        chains.setdefault(chain[2] - chain[1], []).append(chain)
         if chain[3] >= MIN_EQUAL * (chain[1] - chain[0]):
             best = max(best, chain[1] - chain[0])
     return best / len(item)

@@ -80,3 +80,11 @@ def test_many_items_are_refused(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_ITEM_CHARS", 10)
     with pytest.raises(ValueError):
         found(spark, [(1, "x")])
+
+
+def test_passage_in_self_repeating_text_is_joined_across_a_wrong_character():
+    """Far more open chains than the one that counts, which is the oldest."""
+    item = np.frombuffer(b"ab" * 100, dtype=np.uint8)
+    doc = item.copy()
+    doc[100] = ord("x")
+    assert L.passage_part(item, doc) == 1.0
