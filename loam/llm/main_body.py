@@ -1,50 +1,51 @@
-"""The main body of pages whose text mixes it with menus, notices, lists of other pages and footers.
-
-A page is read as lines of kinds in a flat row of sections; this is not tree scoring. Between the title and the last text,
-the kind of a line decides: title and date lines, prose, questions and answers, tables and lists that are introduced stay.
-Prose gives its section points for length and commas, discounted by link density; prose of sections with next to no points
-goes. What a line's form shows on all pages (does it stand before titles or after the last paragraph nearly always?) is
-counted beforehand.
+"""The main body of pages whose text mixes it with menus, notices, lists of other pages and footers: tree scoring.
+
+Page text holds no tags, so the tree is read from the lines: a page has sections (opened by its title and by headings
+that stand over text), a section has blocks (running text, lists, runs of short lines), a block has lines. A paragraph
+gives points for its length and its commas, discounted by the part of it that is link text; they pass in full to its
+block, by half to its section and by a third to the page. The section with the most points is the container. Of its
+blocks, and of those of its sibling sections, the ones with points enough against the best block are kept; all else is
+furniture. A page is judged by itself, in one pass, so that nothing is shuffled and nothing depends on the corpus' size.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.textbytes import column
-from loam.sources.scratch import spread, stored
-
-BLANK, TABLE, HEADING, ITEM, INTRO, QA, STEP, PROSE, SHORT = range(9)
-#: Pages on which a line form must stand before its place says anything, and the part of them on which it must stand at
-#: a page's edges.
-MIN_PAGES = 5
-MIN_EDGE = 0.55
-#: Lines of a form and at most so many characters are counted; longer ones are prose.
-FORM_CHARS = 160
-#: A section without so many points is no best section; siblings keep their prose from this part of its points on.
-MIN_POINTS = 1.0
-SIBLING_PART = 0.02
+from loam.sources.scratch import spread
+
+BLANK, TABLE, HEADING, ITEM, INTRO, STEP, PROSE, SHORT = range(8)
+#: Points of a paragraph: so much for every 100 columns, and for a comma.
+PER_100, PER_COMMA = 1.0, 0.5
+#: The part of a paragraph's points that its section and its page receive.
+TO_SECTION, TO_PAGE = 1 / 2, 1 / 3
+#: A page whose best section has fewer points has no body.
+MIN_POINTS = 0.2
+#: A block stays from this part of the best block's points on: in the container, and in its sibling sections.
+INSIDE, BESIDE = 0.06, 0.35
+#: Blocks with more link text than this part are lists of links.
+MAX_LINKS = 0.5
 
 _WIDE = re.compile("[⺀-鿿가-힯＀-｠]")
 _LINK = re.compile(r"!?\[([^\]]*)\]\([^)]*\)")
 _BULLET = re.compile(r"^(?:[-*+•·▪◦]|\d{1,3}[.)、]|[a-zA-Z][.)])\s+")
 _TABLE = re.compile(r"^\|.*\|$")
-_QA = re.compile(r"^(?:问|答|Q|A|Question|Answer|Réponse|Frage|Antwort)\s*[:：]")
-_STEP = re.compile(r"^(?:第\s*\d+\s*步|(?:Step|Étape|Schritt)\s+\d+)\s*[:：]", re.IGNORECASE)
+#: A short label before a colon; one that holds a number.
+_LABEL = re.compile(r"^[^\s:：][^:：]{0,11}[:：]\s*\S")
+_NUMBERED = re.compile(r"^[^\s\d:：][^:：\d]{0,10}\d{1,3}[^:：\d]{0,4}[:：]\s*\S")
 _SENTENCE_END = re.compile(r"[。！？.!?…][”’」』）)\"»]*$")
-#: Choices and link rows: short parts between bars, brackets, dots, arrows or runs of white space.
+#: What parts choices and links in a row: bars, brackets, dots, arrows, runs of white space.
 _PARTS = re.compile(r"\s*(?:[|·•»>]|\]\s*\[|\s{2,}|　)\s*|\s+/\s+")
 _COMMAS = re.compile("[,，、；;]")
-_DATE = re.compile(r"\d{4}\s*[-/.年]\s*\d{1,2}|\d{1,2}\s*月\s*\d{1,2}\s*日|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\b\d{1,2}(?:er)?\.?\s+[^\W\d]{3,9}\s+\d{4}\b|\b[^\W\d]{3,9}\s+\d{1,2},\s+\d{4}\b")
-_REFERENCE = re.compile(r"〔\d{4}〕|^(?:Ref|Réf|Az|Aktenzeichen|Référence|Reference|文号|编号)\.?\s*[:：]?\s*\S*\d", re.IGNORECASE)
-_CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-Þ][\w'’-]*(?:\s+(?:(?:of|de|des|du|von|für)\s+)?[A-ZÀ-ÖØ-Þ][\w'’-]*)*")
-_SITE = re.compile("[一-鿿]{2}[市县区]")
+_EDGES = "　\xa0﻿"
+_DAY = re.compile(r"\d{1,4}\s*[-/.年月]\s*\d{1,2}|\d{1,2}(?:er|st|nd|rd|th)?\.?\s+[^\W\d]{3,9}\s+\d{4}|(?:^|[:：]\s*)(?:\d{1,2}(?:er|st|nd|rd|th)?\.?\s+[^\W\d]{3,9}\b|[^\W\d]{3,9}\s+\d{1,2}\b)")
 
 
 def weight(text: str) -> int:
@@ -54,176 +55,159 @@ def weight(text: str) -> int:
 
 def bare(line: str) -> str:
     """A line without indentation, heading marks, bullet and link targets."""
-    text = line.strip().strip("　\xa0﻿")
+    text = line.strip().strip(_EDGES)
     text = _BULLET.sub("", re.sub(r"^[#>]+\s*", "", text))
     return _LINK.sub(r"\1", text).strip()
 
 
-def form_of(line: str) -> str:
-    """The form of a line: digit runs as 0, capitalised names as X, Chinese place names as one."""
-    return _SITE.sub("某地", _CAPITALS.sub("X", re.sub(r"\d+", "0", bare(line))))
+def link_density(text: str) -> float:
+    """The part of a line's visible text that is link text."""
+    if "](" not in text:
+        return 0.0
+    links = sum(len(m) for m in _LINK.findall(text))
+    return links / max(1, len(_LINK.sub(r"\1", text)))
 
 
 def kind_of(line: str) -> int:
-    text = line.strip().strip("　\xa0﻿")
+    """What a line is by its own form alone."""
+    text = line.strip().strip(_EDGES)
     if not text:
         return BLANK
-    if _TABLE.match(text) and len(text) > 1:
+    if text[0] == "|" and len(text) > 1 and _TABLE.match(text):
         return TABLE
-    if text.startswith("#") and text.lstrip("#").startswith(" "):
+    if text[0] == "#" and text.lstrip("#")[:1] == " ":
         return HEADING
     if _BULLET.match(text):
         return ITEM
-    if _QA.match(text):
-        return QA
-    if _STEP.match(text):
-        return STEP
-    if text[-1] in ":：" and weight(text) <= 80:
+    visible = _LINK.sub(r"\1", text) if "](" in text else text
+    wide = weight(visible)
+    if text[-1] in ":：" and wide <= 80:
         return INTRO
-    visible = _LINK.sub(r"\1", text)
-    parts = [p for p in _PARTS.split(visible) if p]
-    if _SENTENCE_END.search(visible) and weight(visible) >= 16 and link_density(text) < 0.5 and not (len(parts) >= 3 and weight(visible) / len(parts) < 40) and "|" not in visible:
+    if wide <= 80 and _NUMBERED.match(text):
+        return STEP
+    parts = sum(map(bool, _PARTS.split(visible)))
+    choices = "|" in visible or parts >= 3 and wide / parts < 40
+    if not choices and _SENTENCE_END.search(visible) and (wide >= 16 or _LABEL.match(text)) and link_density(text) < MAX_LINKS:
         return PROSE
-    if weight(visible) >= 160 and len(_COMMAS.findall(visible)) >= 2 and link_density(text) < 0.3:
+    if wide >= 160 and len(_COMMAS.findall(visible)) >= 2 and link_density(text) < MAX_LINKS:
         return PROSE
     return SHORT
 
 
-def link_density(text: str) -> float:
-    links = sum(len(m) for m in _LINK.findall(text))
-    return links / max(1, len(_LINK.sub(r"\1", text)))
+def points(line: str) -> float:
+    """What a paragraph gives to its ancestors: for length and commas, discounted by its link density."""
+    text = bare(line)
+    return (PER_100 * weight(text) / 100 + PER_COMMA * len(_COMMAS.findall(text))) * (1 - link_density(line))
+
+
+@dataclass
+class Block:
+    """Running text with its points, or a list or run of short lines, which has none."""
+
+    text: bool
+    lines: list[int] = field(default_factory=list)
+    points: float = 0.0
+    #: Short lines that stand between the lines of a text; they belong to no paragraph.
+    between: list[int] = field(default_factory=list)
+
+
+@dataclass
+class Section:
+    """What stands under one heading (level 0: under none). ``top``: its heading and the date and reference below it."""
+
+    level: int
+    top: list[int] = field(default_factory=list)
+    blocks: list[Block] = field(default_factory=list)
+
+    def points(self) -> float:
+        return TO_SECTION * sum(b.points for b in self.blocks)
 
 
 def title_line(lines: list[str], kinds: list[int], title: str | None) -> int | None:
-    """Where the body's title stands: the line equal to the page's title, else the first heading of level 1 or 2."""
+    """Where the page's title stands in its text: the line equal to it that is neither item nor link."""
     wanted = re.sub(r"\s+", "", title or "").lower()
-    if wanted:
-        for i, line in enumerate(lines):
-            if kinds[i] != BLANK and re.sub(r"\s+", "", bare(line)).lower() == wanted and not (kinds[i] == ITEM or _LINK.search(line)):
-                return i
-    for i, line in enumerate(lines):
-        if kinds[i] == HEADING and re.match(r"##?\s", line.strip().strip("　\xa0﻿")):
-            return i
-    return None
-
-
-def zones(lines: list[str], kinds: list[int], title: str | None) -> tuple[int, int]:
-    """(first line, last line) between which the body lies at most, judged by title and strong lines alone."""
-    start = title_line(lines, kinds, title)
-    strong = [i for i, k in enumerate(kinds) if k in (QA, STEP, TABLE) or (k == PROSE and weight(lines[i]) >= 90)]
-    first = start if start is not None else strong[0] if strong else len(lines)
-    last = max([i for i in strong if i >= first], default=first)
-    return first, last
-
-
-def untitled_start(lines: list[str], kinds: list[int], hinted: set[int]) -> int:
-    """Where the body starts without a known title: at the first line that is text, or at the title and date above it."""
-
-    def text(i: int) -> bool:
-        return kinds[i] in (PROSE, QA, STEP, TABLE) or (kinds[i] == INTRO and next_kind(kinds, i + 1) == ITEM)
-
-    first = next((i for i in range(len(lines)) if text(i) and i not in hinted), len(lines))
-    for i in range(first - 1, max(-1, first - 4), -1):
-        if kinds[i] == BLANK:
-            continue
-        line = bare(lines[i])
-        if first == len(lines) or i in hinted or kinds[i] not in (SHORT, HEADING) or _PARTS.split(line)[1:] and not _is_meta(lines[i]) or _LINK.search(lines[i]):
-            break
-        first = i
-        if not _is_meta(lines[i]):
-            break
-    return first
+    if not wanted:
+        return None
+    equal = (i for i, k in enumerate(kinds) if k not in (BLANK, ITEM) and "](" not in lines[i] and re.sub(r"\s+", "", bare(lines[i])).lower() == wanted)
+    return next(equal, None)
+
+
+def dated(line: str) -> bool:
+    """Whether a short line states a day or a reference: it holds a date or five digits and is no row of choices."""
+    text = bare(line)
+    return weight(text) <= 80 and len(_PARTS.split(text)) <= 2 and bool(sum(map(str.isdigit, text)) >= 5 or _DAY.search(text))
 
 
-def furniture(lines: list[str], title: str | None, hinted: set[int]) -> list[int]:
-    """Indexes of the lines, not blank, that are not of the main body. ``hinted``: lines whose form says so."""
+def tree(lines: list[str], title: str | None) -> list[Section]:
+    """The page as sections of blocks of lines."""
     kinds = [kind_of(line) for line in lines]
-    first, _ = zones(lines, kinds, title)
-    if title_line(lines, kinds, title) is None:
-        first = untitled_start(lines, kinds, hinted)
-    keep: set[int] = set()
-    points: dict[int, float] = {}  # by section
-    section_of, section, prose_seen, introduced, i = {}, 0, False, False, first
-    while i < len(lines):
-        k = kinds[i]
-        if k == BLANK:
-            i += 1
-            continue
-        listed = next_kind(kinds, i + 1)
-        if i == first and (k in (HEADING, SHORT) or title):
-            keep.add(i)
-        elif i in hinted and k not in (TABLE, QA, STEP):
-            introduced = False
-        elif k == INTRO and listed in (ITEM, STEP):
-            keep.add(i)
-            introduced = True
-            section_of[i] = section
-            points[section] = points.get(section, 0) + MIN_POINTS
-        elif k == INTRO and prose_seen is False and _is_meta(lines[i]):
-            keep.add(i)
-        elif k == ITEM:
-            if introduced:
-                keep.add(i)
-        elif k in (TABLE, QA, STEP):
-            keep.add(i)
-            introduced = False
-            points[section] = points.get(section, 0) + MIN_POINTS
-        elif k == PROSE:
-            text = bare(lines[i])
-            gain = 1 + len(_COMMAS.findall(text)) * 0.5 + min(3.0, weight(text) / 100)
-            points[section] = points.get(section, 0) + gain * (1 - link_density(lines[i]))
-            section_of[i] = section
-            prose_seen, introduced = True, False
-        elif k in (HEADING, SHORT):
+    at = [i for i, k in enumerate(kinds) if k != BLANK]
+    named = title_line(lines, kinds, title)
+    sections = [Section(0)]
+    introduced = False  # the list that follows belongs to the text
+    for n, i in enumerate(at):
+        section, k = sections[-1], kinds[i]
+        after = kinds[at[n + 1]] if n + 1 < len(at) else BLANK
+        block = section.blocks[-1] if section.blocks else None
+        if i == named or k == HEADING and (after in (PROSE, STEP, TABLE, INTRO) or named is None and len(sections) == 1 and _level(lines[i]) <= 2):
+            sections.append(Section(_level(lines[i]) if k == HEADING else 1, [i]))
             introduced = False
-            if not prose_seen and not points and _is_meta(lines[i]):
-                keep.add(i)
-            else:
-                section += 1
-        i += 1
-    best = max(points.values(), default=0.0)
-    for i, s in section_of.items():
-        if kinds[i] == PROSE and points[s] >= max(MIN_POINTS, SIBLING_PART * best):
-            keep.add(i)
-    if best < MIN_POINTS:
-        keep = set()  # an index page: there is no body that a title could belong to
-    return [i for i, k in enumerate(kinds) if k != BLANK and i not in keep]
-
-
-def next_kind(kinds: list[int], i: int) -> int:
-    """The kind of the next line that is not blank."""
-    return next((k for k in kinds[i:] if k != BLANK), BLANK)
-
-
-def _is_meta(line: str) -> bool:
-    """Whether a line states a date or reference rather than a text of its own."""
-    text = bare(line)
-    return weight(text) <= 80 and bool(_DATE.search(text) or _REFERENCE.search(text)) and not _PARTS.split(text)[2:]
+            continue
+        if k == INTRO and after not in (ITEM, STEP, TABLE):
+            k = SHORT
+        if k == SHORT and section.top and not section.blocks and dated(lines[i]):
+            section.top.append(i)
+            continue
+        if k in (PROSE, STEP, TABLE, INTRO) or k == ITEM and introduced:
+            if not block or not block.text:
+                section.blocks.append(block := Block(True))
+            block.lines.append(i)
+            # a list that a text introduces is text, whatever its links; the line that introduces it speaks for it
+            block.points += points(lines[i]) if k != INTRO else PER_100 * weight(bare(lines[at[n + 1]])) / 100
+            introduced = k == INTRO or introduced and k == ITEM
+            continue
+        introduced = False
+        if k == SHORT and block and block.text and after in (PROSE, STEP, TABLE, INTRO):
+            block.between.append(i)  # one short line does not end a text
+        elif not block or block.text or k == HEADING:
+            section.blocks.append(Block(False, [i]))
+        else:
+            block.lines.append(i)
+    return sections
 
 
-def line_places(pages: DataFrame) -> DataFrame:
-    """Short lines with their place: page_id, line_no, form (hash), edge (1: before the title or after the last strong
-    line)."""
+def _level(line: str) -> int:
+    text = line.strip().strip(_EDGES)
+    return len(text) - len(text.lstrip("#")) or 1
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, nos, forms, edges = [], [], [], []
-            for page, title, content in zip(column(batch, "page_id"), column(batch, "title"), column(batch, "content")):
-                lines = content.split("\n")
-                kinds = [kind_of(line) for line in lines]
-                first, last = zones(lines, kinds, title)
-                for i, line in enumerate(lines):
-                    if kinds[i] not in (BLANK, TABLE, ITEM) and len(line) <= FORM_CHARS:
-                        ids.append(page)
-                        nos.append(i + 1)
-                        forms.append(xxhash.xxh64_intdigest(form_of(line)) - (1 << 63))
-                        edges.append(int(i < first or i > last))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(forms, pa.int64()), pa.array(edges, pa.int32())],
-                names=["page_id", "line_no", "form", "edge"],
-            )
-
-    return pages.mapInArrow(rows, "page_id long, line_no int, form long, edge int")
+
+def furniture(lines: list[str], title: str | None) -> list[int]:
+    """Indexes of the lines, not blank, that are not of the main body."""
+    sections = tree(lines, title)
+    container = max(sections, key=Section.points)
+    keep: set[int] = set()
+    if container.points() >= MIN_POINTS:
+        best = max(b.points for b in container.blocks)
+        for section in sections:
+            bar = (INSIDE if section is container else BESIDE) * best
+            own = [b for b in section.blocks if b.text and b.points >= bar]
+            keep.update(i for b in own for i in b.lines)
+            if own:
+                keep.update(section.top or _heads(lines, section, own[0]))
+    return [i for i, line in enumerate(lines) if i not in keep and line.strip().strip(_EDGES)]
+
+
+def _heads(lines: list[str], section: Section, first: Block) -> list[int]:
+    """The title, and a date below it, of a text that stands under no heading: the short lines right above it."""
+    k = section.blocks.index(first)
+    above, out = (section.blocks[k - 1].lines if k else []), []
+    for i in reversed(above[-2:]):
+        if kind_of(lines[i]) not in (SHORT, HEADING) or len(_PARTS.split(bare(lines[i]))) > 1 and not dated(lines[i]) or "](" in lines[i]:
+            break
+        out.append(i)
+        if not dated(lines[i]):
+            break
+    return out
 
 
 def furniture_lines(pages: DataFrame) -> DataFrame:
@@ -234,31 +218,33 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
     any body gives all of its lines. An empty table gives no rows.
     """
     pages = spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "title", "content").where("page_id is not null and content is not null"))
-    places = stored(line_places(pages), "page-lines")
-    edges = (
-        places.groupBy("form")
-        .agg(F.countDistinct("page_id").alias("n"), F.avg("edge").alias("edge"))
-        .where((F.col("n") >= MIN_PAGES) & (F.col("edge") >= MIN_EDGE))
-        .select("form")
-    )
-    hinted = places.join(edges, "form", "left_semi").groupBy("page_id").agg(F.collect_set("line_no").alias("hinted"))
-    with_hints = pages.join(hinted, "page_id", "left")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, nos = [], []
-            for page, title, content, hints in zip(*(column(batch, c) for c in ("page_id", "title", "content", "hinted"))):
-                found = furniture(content.split("\n"), title, {n - 1 for n in hints or ()})
+            for page, title, content in zip(*(column(batch, c) for c in ("page_id", "title", "content"))):
+                found = furniture(content.split("\n"), title)
                 ids += [page] * len(found)
                 nos += [i + 1 for i in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32())], names=["page_id", "line_no"])
 
-    return with_hints.mapInArrow(rows, "page_id long, line_no int")
+    return pages.mapInArrow(rows, "page_id long, line_no int")
 
 
 def main_bodies(pages: DataFrame) -> DataFrame:
-    """Each page's main body: page_id and body (its lines in order; empty where there is none, null content: null)."""
-    drop = furniture_lines(pages).groupBy("page_id").agg(F.collect_set("line_no").alias("_drop"))
-    kept = F.filter(F.split("content", "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("_drop", i + 1), F.lit(False)))
-    joined = pages.select("page_id", "content").dropDuplicates(["page_id"]).join(drop, "page_id", "left")
-    return joined.select("page_id", F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "").alias("body"))
+    """Each page's main body: page_id and body (its lines in order; empty where there is none, null content: null).
+
+    A row that is repeated with all its values comes out once; differing rows of one page_id come out each with its body.
+    """
+    pages = spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "title", "content").where("page_id is not null").distinct())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies: list[str | None] = []
+            for title, content in zip(column(batch, "title"), column(batch, "content")):
+                lines = (content or "").split("\n")
+                gone = set(furniture(lines, title))
+                bodies.append(None if content is None else "\n".join(line for i, line in enumerate(lines) if i not in gone).strip())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string())], names=["page_id", "body"])
+
+    return pages.mapInArrow(rows, "page_id long, body string")
