@@ -26,8 +26,8 @@ BLANK, TABLE, HEADING, ITEM, INTRO, STEP, PROSE, SHORT = range(8)
 PER_100, PER_COMMA = 1.0, 0.5
 #: The part of a paragraph's points that its section and its page receive.
 TO_SECTION, TO_PAGE = 1 / 2, 1 / 3
-#: A page whose best section has fewer points has no body.
-MIN_POINTS = 0.2
+#: A page with fewer points has no body.
+MIN_POINTS = 0.13
 #: A block stays from this part of the best block's points on: in the container, and in its sibling sections.
 INSIDE, BESIDE = 0.06, 0.35
 #: Blocks with more link text than this part are lists of links.
@@ -162,8 +162,8 @@ def tree(lines: list[str], title: str | None) -> list[Section]:
             if not block or not block.text:
                 section.blocks.append(block := Block(True))
             block.lines.append(i)
-            # a list that a text introduces is text, whatever its links; the line that introduces it speaks for it
-            block.points += points(lines[i]) if k != INTRO else PER_100 * weight(bare(lines[at[n + 1]])) / 100
+            # a list that a text introduces is text, whatever its links
+            block.points += points(bare(lines[i]) if k == ITEM else lines[i])
             introduced = k == INTRO or introduced and k == ITEM
             continue
         introduced = False
@@ -185,8 +185,9 @@ def furniture(lines: list[str], title: str | None) -> list[int]:
     """Indexes of the lines, not blank, that are not of the main body."""
     sections = tree(lines, title)
     container = max(sections, key=Section.points)
+    page = TO_PAGE * sum(b.points for s in sections for b in s.blocks)
     keep: set[int] = set()
-    if container.points() >= MIN_POINTS:
+    if page >= MIN_POINTS:
         best = max(b.points for b in container.blocks)
         for section in sections:
             bar = (INSIDE if section is container else BESIDE) * best

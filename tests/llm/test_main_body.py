@@ -77,7 +77,7 @@ def test_best_container_and_siblings():
 
 
 def test_introduced_list_is_text_and_others_are_not():
-    lines = ["# T", "Attachments:", "- [a form of two pages](/f)", "- a card", "Home", "- [other page](/o)"]
+    lines = ["# T", "Attachments:", "- [a signed form of two pages, with a stamp](/f)", "- a card", "Home", "- [other page](/o)"]
     assert M.furniture(lines, "T") == [4, 5]
 
 
