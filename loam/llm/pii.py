@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.pii_model import SpanModel, fitted
-from loam.llm.pii_spans import FEATURES, TYPES, Span, features, spans
-from loam.llm.textbytes import column
+from loam.llm.pii_model import FREQUENT, PRIOR, SpanModel, fitted, shares
+from loam.llm.pii_spans import FEATURES, TYPES, Span, capitalised, features, spans
+from loam.llm.textbytes import chunks, code_points, column
 from loam.sources.scratch import spread
 
 #: What a text shows in place of personal data.
@@ -22,21 +24,26 @@ BATCH = 20_000
 
 def _selected(proposed: list[Span], scores: np.ndarray, cut: tuple[float, ...]) -> list[Span]:
     """Spans over their type's threshold, the likeliest first, of overlapping ones one; in the order of the text."""
+    starts: list[int] = []
     out: list[Span] = []
     for k in np.argsort(-scores, kind="stable"):
         s = proposed[k]
-        if scores[k] >= cut[s.kind] and all(s.end <= o.start or o.end <= s.start for o in out):
-            out.append(s)
-    return sorted(out, key=lambda s: s.start)
+        if scores[k] >= cut[s.kind]:
+            at = bisect_left(starts, s.start)  # the chosen do not overlap, so only the neighbours can
+            if (at == len(out) or s.end <= out[at].start) and (not at or out[at - 1].end <= s.start):
+                starts.insert(at, s.start)
+                out.insert(at, s)
+    return out
 
 
-def found_spans(texts: list[str | None], model: SpanModel) -> Iterator[tuple[int, list[Span]]]:
-    """(index, personal data) of each text that holds any."""
+def found_spans(texts: list[str | None], model: SpanModel, frequent: Mapping[str, float] | None = None) -> Iterator[tuple[int, list[Span]]]:
+    """(index, personal data) of each text that holds any. ``frequent``: of the texts' corpus, as ``frequent_parts`` has it."""
+    frequent = frequent or {}
     waiting: list[tuple[int, list[Span]]] = []
     rows: list[list[float]] = []
 
     def flush() -> Iterator[tuple[int, list[Span]]]:
-        scores = model.score(np.array(rows).reshape(-1, FEATURES))
+        scores = model.score(np.array(rows).reshape(-1, FEATURES), np.array([s.kind for _, proposed in waiting for s in proposed]))
         at = 0
         for i, proposed in waiting:
             chosen = _selected(proposed, scores[at : at + len(proposed)], model.cut)
@@ -50,13 +57,46 @@ def found_spans(texts: list[str | None], model: SpanModel) -> Iterator[tuple[int
         proposed = spans(text) if text else []
         if proposed:
             waiting.append((i, proposed))
-            rows.extend(features(text, s) for s in proposed)
+            rows.extend(features(text, s, frequent) for s in proposed)
             if len(rows) >= BATCH:
                 yield from flush()
     if waiting:
         yield from flush()
 
 
+def frequent_parts(docs: DataFrame) -> dict[str, float]:
+    """Pairs of Han signs and capitalised words that stand in many of the texts (doc_id, text), with the per cent of the texts.
+
+    All texts are counted. Each task sends one count a pair or word; what reaches the driver is bounded by the least share.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = column(batch, "text")
+            for _, run in chunks(texts):
+                chars, offsets = code_points(run)
+                han = (chars >= _FIRST) & (chars < _FIRST + _HAN)
+                both = han[:-1] & han[1:]
+                at = np.flatnonzero(both)
+                doc = np.searchsorted(offsets, at, side="right") - 1
+                same = at + 1 < offsets[doc + 1]
+                pair = (chars[at[same]].astype(np.int64) - _FIRST) * _HAN + chars[at[same] + 1] - _FIRST
+                pairs, n = np.unique(np.unique(doc[same] * _HAN * _HAN + pair) % (_HAN * _HAN), return_counts=True)
+                words = Counter(word for text in run for word in capitalised(text))
+                parts = [chr(_FIRST + x // _HAN) + chr(_FIRST + x % _HAN) for x in pairs.tolist()] + list(words)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(n.tolist() + list(words.values()), pa.int64())], names=["part", "n"])
+
+    texts = docs.select("text").where("text is not null")
+    total = texts.count()
+    counted = spread(texts).mapInArrow(rows, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    kept = counted.where(F.col("n") >= FREQUENT * (total + PRIOR)).collect()
+    return shares({x.part: x.n for x in kept}, total)
+
+
+#: Han signs: the first one, and how many there are.
+_FIRST, _HAN = 0x4E00, 0x9FFF - 0x4E00 + 1
+
+
 def personal_data(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """Every piece of personal data in the texts (doc_id, text): doc_id, pii_type, pii_text, start, end.
 
@@ -64,11 +104,12 @@ def personal_data(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     no rows; a repeated row gives its findings again. ``model`` is fitted where none is given.
     """
     model = model or fitted(docs.sparkSession)
+    frequent = frequent_parts(docs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, out = column(batch, "doc_id"), column(batch, "text"), []
-            for i, chosen in found_spans(texts, model):
+            for i, chosen in found_spans(texts, model, frequent):
                 out += [(ids[i], TYPES[s.kind], texts[i][s.start : s.end], s.start, s.end) for s in chosen]
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["doc_id", "pii_type", "pii_text", "start", "end"])
@@ -79,11 +120,12 @@ def personal_data(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
 def redacted(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """The texts with placeholders for personal data and all else unchanged: doc_id, text, replaced (their number)."""
     model = model or fitted(docs.sparkSession)
+    frequent = frequent_parts(docs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = column(batch, "text"), [0] * batch.num_rows
-            for i, chosen in found_spans(texts, model):
+            for i, chosen in found_spans(texts, model, frequent):
                 parts, last = [], 0
                 for s in chosen:
                     parts += [texts[i][last : s.start], PLACEHOLDER.format(TYPES[s.kind].upper())]

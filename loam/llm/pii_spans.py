@@ -7,6 +7,7 @@ it. Which spans are personal data is decided elsewhere.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from functools import cache
 from typing import NamedTuple
 
@@ -22,27 +23,42 @@ class Span(NamedTuple):
     end: int
 
 
-# --- fixed values: words that stand before, in or after personal data, by language -----------------------------------
-PHONE_WORDS = r"电话|手机|热线|拨打|请拨|致电|传真|座机|\b[Tt]el\b|\btel:|T[ée]l\b|[Tt]elefon|[Pp]hone|[Mm]obile|\bring\b|\b[Cc]all\b|\bHandy\b|\bFax\b|[Aa]ppeler|\b(?:on|or|oder|ou)\s$|\b[Rr]uf|\bunter\b|[Cc]ontact"
-ID_WORDS = r"身份证|证件|护照|社保|税号|公示对象|\bID\b|[Pp]assport|[Ii]dentity|[Ss]ocial|[Ii]nsurance|\b[Tt]ax\b|[Aa]usweis|[Rr]eisepass|[Ss]teuer|[Ss]ozialvers|s[ée]curit[ée]|[Pp]asseport|identit[ée]|fiscal|\bcard\b"
-MAIL_WORDS = r"邮箱|邮件|写信|mailto|[Mm]ail|[Cc]ourriel|[Ww]rite|[ÉEé]crire|reached|antwortet"
-ADDRESS_WORDS = r"地址|住址|住|寄|[Aa]nschrift|[Aa]dress|wohnhaft|\blives\b|[Vv]isit|[Pp]ost an|\bau\b|demeurant|re[çc]oit|domicili|\bto\b|\bat\b|核对"
-NAME_WORDS = r"联系人|经办人|申请人|签发人|负责人|报名人|收件人|公示对象|获奖者为?|姓名|作者|编辑|据|经|和|、|[Cc]ontact|[Aa]sk for|[Aa]ccording to|twice by|\bby\b|file of|[Aa]uthor|[Aa]utor|[Aa]uteur|[Ss]ign[ée]+|gez\.|ausgestellt auf|gibt|[Ss]elon|\bDr\b|\bMs\b|\bMrs?\b|\bProf\b|\bMme\b|\bMlle\b|\bM\.|\bHerrn?\b|\bFrau\b|—"
-NUMBER_WORDS = r"流水号|订单|编号|文号|批复|金额|单号|版本|合同号|账号|[Oo]rder|[Tt]icket|[Dd]ossier|[Vv]organg|ISBN|ISSN|[Bb]uild|[Vv]ersion|[Cc]ost|[Ii]nvoice|[Rr]echnung|[Ff]acture|[Ss]erial|\b[Nn]o\.|€|¥|\$|£|[Pp]age|已脱敏|[Mm]ask"
-NUMBER_AFTER = r"^\s?(?:元|页|份|名|人|册|件|次|in all|pages?|Seiten|EUR|euros?|€|has shipped|clos\b|ist erledigt|est)"
-NAME_AFTER = r"^\s?(?:老师|先生|女士|同志|教授|介绍|收[。，）]?|两位|（身份证|\(ID|, ID|, t[ée]l|, Tel|, wohnhaft|antwortet|re[çc]oit|\(num|a sign|sat on|on [+(\d]|at the desk|and (?:Ms|Mr|Dr)|, the list|负责|，住|，电话|、|，\d|，[０-９A-Z]|（)"
-ORGANISATION = r"\b(?:Office|Board|Centre|Center|Desk|Unit|Service|Library|Hall|Preis|Prize|Award|Prix|Institute|University|School|College|Examination|Programme|Course|Scheme|Archive|Company|Street|Road|Stiftung|Stelle|Amt|Verband|Bureau|Guichet|Pôle|Régie|Fondation)\b|\w(?:amt|stelle|büro|verband|archiv|schule|haus|werk|dienst)\b|局|处|馆|队|办|组|中心|考试|课程|项目|计划|市|县|区|学校|大学|公司"
+# --- fixed values: words of daily language around personal data, closed word classes, and family names ----------------
+PHONE_WORDS = r"电话|手机|热线|拨打|致电|传真|座机|来电|\b[Tt]el\b|T[ée]l\b|[Tt]elefon|[Pp]hone|[Mm]obile|\b[Cc]all\b|\b[Rr]ing\b|\bHandy\b|\b[Ff]ax\b|[Aa]ppel|\b[Rr]uf"
+ID_WORDS = r"身份证|证件|护照|社保|税号|\bID\b|[Pp]assport|[Ii]dentit|[Ss]ocial|[Ii]nsurance|\b[Tt]ax\b|[Aa]usweis|[Rr]eisepass|[Ss]teuer|[Ss]ozialvers|s[ée]curit[ée]|[Pp]asseport|fiscal|\bcard\b"
+MAIL_WORDS = r"邮箱|邮件|mailto|[Mm]ail|[Cc]ourriel|\b[Ww]rite\b|[ÉEé]cri|schreib"
+ADDRESS_WORDS = r"地址|住|寄|搬|[Aa]nschrift|[Aa]dress|wohn|\bliv(?:e|es|ed|ing)\b|[Vv]isit|demeur|domicil|habite|\bto\b|\bat\b|\bau\b|\ban\b|\bin\b"
+NUMBER_WORDS = r"流水|订单|编号|文号|金额|单号|版本|合同|账号|共计|[Oo]rder|[Tt]icket|[Dd]ossier|[Vv]organg|ISBN|ISSN|[Vv]ersion|[Bb]uild|[Ii]nvoice|[Rr]echnung|[Ff]acture|[Ss]erial|\b[Nn]o\.|€|¥|\$|£|[Pp]age|[Mm]ask|[Cc]osts?\b|[Pp]rice|[Pp]reis|[Pp]rix"
+NAME_WORDS = r"姓名|联系人|负责人|作者|编辑|署名|名叫|[人者员师长生]|[Nn]ame|[Aa]ut(?:h?or|eur)|[Ee]dit(?:or|ed)|[Rr]eport(?:er)?|[Ss]ign[ée]|[Cc]ontact|[Ff]rom|[Dd]ear|[Vv]on|[Dd]e|[Pp]ar|[Bb]y|gez\.?|[Rr]edak\w+|—|–"
+NUMBER_AFTER = r"^\s?(?:元|页|份|名|人|册|件|次|pages?\b|Seiten|EUR|euros?|€|pieces|kg|km|%)"
+ORGANISATION = r"\b(?:Office|Board|Centre|Center|Desk|Unit|Service|Services|Library|Hall|Prize|Preis|Award|Prix|Institute|University|School|College|Council|Agency|Department|Committee|Examination|Programme|Program|Project|Course|Scheme|Archive|Archives|Museum|Bank|Group|Company|Limited|Ltd|Inc|GmbH|Street|Road|Lane|Avenue|Stiftung|Stelle|Amt|Verband|Verein|Bureau|Guichet|Pôle|Régie|Fondation|Société|Ministère|Mairie|Institut|Universität|Hochschule|Schule)\b|\w(?:amt|stelle|büro|verband|archiv|schule|haus|werk|dienst|zentrum|kurs|programm|prüfung|preis)\b"
 TITLES = r"(?:Dr|Ms|Mrs|Mr|Prof|Mme|Mlle|M|Herrn?|Frau|Madame|Monsieur)\.?"
-#: Frequent family names and others that are hardly anything else.
+#: Words written with a capital at the head of sentences and lines; no person is called by them.
+STARTERS = frozenset("No Nobody Nothing Once Whenever If Because Between Keine Kein Keinen Keiner Zwischen Sobald Während Jede Jeder Jedes Alle Aucun Aucune Chaque Quelque Toute Tout Entre Lorsque The A An In On At By For From To Of And Or But As If When While Under After Before With Without Until Since This That These Those It We You He She They My Our Your His Her Their Not No Yes Is Are Was Were Has Have Had All Each Every Some Any Please Dear How What Why Who Where See Note Der Die Das Den Dem Des Ein Eine Einen Einem Einer Im Am Zum Zur Bei Beim Mit Von Vom Nach Vor Für Und Oder Aber Auf Aus Wenn Als Ist Sind War Hat Wir Sie Er Es Ich Wie Was Wer Wo Bis Ab Nur Auch Laut Seit Le La Les Un Une Des Du De Au Aux Dans Par Pour Sur Sous Avec Sans Et Ou Mais Si Quand En Ce Cette Ces Il Elle On Nous Vous Ils Est Sont Dès Selon Après Avant Comment Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split())
+DETERMINERS = frozenset("the a an this that each every our your its der die das den dem des ein eine einen einem einer dieser diese le la les un une du des au aux ce cette".split())
+PREPOSITIONS = frozenset("by of for from to with at in on under after before near via through about than von vom mit für bei an auf aus nach über unter zu gegen par pour de avec chez à sur dans sous selon".split())
+#: Prepositions before places rather than persons.
+PLACE_PREPOSITIONS = frozenset("in at from to near into across nach aus bei ab in im à en vers depuis".split())
+CONJUNCTIONS = frozenset("and or & und oder sowie et ou".split())
+#: Signs of Chinese that stand next to a name rather than inside a word, before and after it.
+BEFORE_HAN = "人者员师长生父母妻夫儿女友弟兄姐妹叔伯舅姨爷奶哥嫂孩据经由被请让给对向找问见与和跟同叫是为即有把托送陪谢及或因到天年月日午晚后前时了说着的授记任家户方位名叫致以从像等而但又也还就都只并上下里外中间在选举机手工兵警官导匠商农帮派聘招邀约访告谢看教老小"
+AFTER_HAN = "先女老同教博主经院医律法工记说在到于的是表介住电负出来去认参任获收因等已将为今从向也并还和与及或两三个这那曾正把被对给就都才不没要会能可想问答写打带拿买做看听走跑开回进上下家夫妻父母身手联签署完提办接承申请报领递交通告指强补称之其"
+#: Family names, frequent ones first.
 SURNAMES = frozenset(
     "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
     "庞樊兰殷施陶洪翟安颜倪严牛温芦季俞章鲁葛伍韦申尤毕聂焦向柳邢路岳齐梅莫庄辛管祝左涂谷祁时舒耿牟卜詹关苗凌费纪靳盛童欧甄项曲成游阳裴席卫查屈鲍位覃霍翁隋植甘景薄单包司柏宁柯阮桂闵解强柴华车冉房边辜吉饶刁瞿戚丘"
+    "桑闻岑卓符蒲鄢郗逄亓郁蔺臧娄敖褚伏狄宫巫滕沙晏冷邬匡仲迟郎褟燕佘诸戎羊阚连普皮薛仇祖晋浦姬隆储巩嵇蒙米鞠"
 )
-#: Words of notices that stand where a Chinese name could.
-COMMON_WORDS = r"比对|介绍|核验|审议|统计|了解|悉|批准|研究|同意|校验|规定|本人|经理|费用|情况|材料|数据|信息|电话|手机|证件|地址|邮箱|日期|时间|单位|名称|备注|合计|姓名|性别|编号|成立|目录|附件|说明|通知|首页|简介|正文|摘要|结论"
+#: Characters that given names are mostly made of.
+GIVEN_HAN = frozenset("明华建国文军平志伟东海强晓生光林玉兰芳秀英丽敏静雅洁慧婷雪梅云霞思远子涵宇轩浩然俊杰勇磊刚超峰亮毅鹏飞辉波斌涛凯翔晨阳旭佳欣怡琳瑶璐蕾薇萍红燕娟娜艳莉莹倩颖悦彤诗梦若雨可心安宁德荣福贵祥春夏秋冬月星天一小大永振家庭昌盛兴旺成龙虎彪山川河江湖溪泉石松柏竹菊荷莲桂芝芸蓉蕙禾苗言泽润清书墨琴淑贤惠贞仪敬恩义礼智信忠孝")
 #: Last characters of words for documents, fees, bodies and places rather than of given names.
-PAPER_ENDS = "函单表证票件费"
-OBJECT_ENDS = "函单书表证票件费法规则会组员区市县局处科室馆院部所页份稿据款项目录题卷号码"
+OBJECT_ENDS = "函单书表证票件费法规则会组员区市县局处科室馆院部所页份稿据款项目录题卷号码率量值线路站台网店厂校系统式性力度期间时日月年段节课程段型类级层"
+#: Frequent words that begin with a sign which is also a family name, and words that stand alone in lines and cells.
+COMMON_WORDS = frozenset(
+    "于是 于此 关于 关系 关闭 关注 关键 高度 高等 高中 高级 高校 高考 方式 方法 方面 方案 方便 方向 成立 成绩 成员 成为 成功 成果 成本 程序 程度 任务 任何 任意 任期 时间 时候 时期 时长 时段 安排 安全 安装 安静 白天 白色 万元 向上 何时 何人 解决 解释 解答 解除 单位 单独 单次 单程 金额 金融 常见 常用 常年 查询 查看 查验 查收 段落 毛病 史料 强调 强制 强化 "
+    "温度 华丽 车站 车辆 房间 房屋 边界 文件 文章 文字 文化 文号 文档 石头 钟头 路线 路口 章节 项目 纪律 纪念 盛大 童年 曲线 游客 游戏 席位 卫生 位置 位于 景点 包括 包含 司机 华北 管理 管辖 左右 左边 谷物 祝贺 季度 申请 申报 申诉 莫名 辛苦 齐全 康复 江河 顾客 马上 马路 林业 和谐 许可 许多 余额 余下 田野 方才 石油 金属 白纸 水平 明确 符合 符号 连接 连续 普通 普遍 米饭 沙发 冷却 宫殿 祖国 储存 燕子 蒲公 闻名 "
+    "比对 介绍 核验 审议 统计 了解 批准 研究 同意 校验 规定 本人 经理 费用 情况 材料 数据 信息 电话 手机 证件 地址 邮箱 日期 单位 名称 备注 合计 姓名 性别 编号 目录 附件 说明 通知 首页 简介 正文 摘要 结论 联系 负责 署名 摄影 流程 要求 须知 步骤 公告 结果 标题 内容 来源 作者 编辑".split()
+)
 STREET_EN = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Crescent|Cres|Close|Drive|Dr|Court|Ct|Place|Pl|Square|Sq|Terrace|Way|Hill|Row|Gardens|Boulevard|Blvd|Walk|Mews|Parade|Green|Yard|Quay|Wharf|Grove|Park|View|Rise|Vale|Circus|Circle|Highway|Parkway|Alley|Gate|Croft|Esplanade|Promenade)\b\.?"
 STREET_FR = r"(?:rue|avenue|av\.|boulevard|bd|chemin|quai|place|impasse|all[ée]e|cours|route|square|passage|sentier|venelle)"
 STREET_DE = r"(?:(?:[Ss]tra(?:ß|ss)e|[Ss]tr\.|[Ww]eg|[Pp]latz|[Aa]llee|[Gg]asse|[Rr]ing|[Uu]fer|[Dd]amm|[Mm]arkt|[Ss]teig|[Cc]haussee))"
@@ -71,31 +87,32 @@ _EN_STREET = re.compile(
 )
 _DE_STREET = re.compile(rf"(?:(?:Am|An der|Im|In der|Zum|Zur|Auf dem|Alte[rn]?|Neue[rn]?) )?(?:[{_UP}][{_LOW}]+(?:er|-)? ?)?(?:[{_UP}][{_LOW}-]*)?{STREET_DE} [0-9]{{1,4}}(?: ?[a-hA-H]\b)?(?:[-/] ?[0-9]+)?(?:,? (?:D-)?[0-9]{{5}} {_WORD}(?: (?:am|an der|im|bei) {_WORD})?)?")
 _FR_STREET = re.compile(rf"[0-9]{{1,4}}(?: ?(?:bis|ter|quater|[A-D])\b)?,? {STREET_FR} (?:(?:de la|de l['’]|des|du|de|d['’]|la|le|les) ?)?(?:{_WORD}|[{_LOW}]+)(?:[ -](?:de|du|des|la|le|les|{_WORD}))*(?:,? (?:F-)?[0-9]{{5}} {_WORD}(?:[ -](?:{_WORD}|sur|sous|en|la|le|les|de))*)?")
-_NAME_TOKEN = rf"(?:[{_UP}][{_LOW}'’]+(?:-[{_UP}][{_LOW}]+)?|[{_UP}]{{2,}}(?:[-'’][{_UP}]{{2,}})?|[{_UP}]\.)"
-_LAST_TOKEN = rf"(?:(?:von|van|de|du|der|le|la) )?(?:(?:O['’]|Mc|d['’])?[{_UP}][{_LOW}'’]+(?:-[{_UP}][{_LOW}]+)?|[{_UP}]{{2,}}(?:[-'’][{_UP}]{{2,}})?)"
-_LATIN_NAME = re.compile(rf"{_NAME_TOKEN}(?: [{_UP}]\.){{0,2}} {_LAST_TOKEN}(?: {_LAST_TOKEN})?|{_LAST_TOKEN}, {_NAME_TOKEN}(?: [{_UP}]\.)?")
-_AFTER_CUE = re.compile(rf"[.:：]?\s{{1,2}}(?:{TITLES} )?|[:：]")
-_NAME_LINE = re.compile(rf"^(?:[-*>—–] ?)?(?=[{_UP}])(?={_LATIN_NAME.pattern}\s*$)", re.MULTILINE)
-_NAME_CELL = re.compile(rf"[|(] ?(?=[{_UP}])")
-_ZH_RIGHT = re.compile(r"老师|先生|女士|同志|教授|介绍|收(?=[。，）])|两位|[（(，。,、|\s；;：:]|负责|$", re.MULTILINE)
-_ZH_LINE = re.compile(rf"^\s*(?={_HAN}[　·• ]?{_HAN}{{1,2}}\s*$)|\| ?(?={_HAN}[　·• ]?{_HAN}{{1,2}} ?\|)", re.MULTILINE)
-_ZH_BEFORE = re.compile(rf"(?:^|[^一-鿿])({_HAN}[　·• ]?{_HAN}{{1,2}}|{_HAN}{{2,3}})$")
+_TOKEN = rf"(?:(?:O['’]|Mc|[dl]['’])?[{_UP}][{_LOW}'’]+(?:-[{_UP}][{_LOW}]+)*|[{_UP}]{{2,}}(?:[-'’][{_UP}]{{2,}})*|[{_UP}]\.)"
+_PARTICLE = r"(?:von der|von|van|de la|de|du|der|le|la)"
+#: A run of capitalised words, with particles and a comma between two of them.
+_RUN = re.compile(rf"(?<![\w@.-])(?:{_TOKEN})(?:,? (?:{_PARTICLE} )?{_TOKEN})+(?![\w@])")
+_TOKENS = re.compile(rf"({_PARTICLE} )?({_TOKEN})(,)?")
+_GIVEN = r"[^\W\d_A-Za-zÀ-ÿ]"
+_FUNCTION = "的了是在和与及或不也都就而但被把从到对向以于这那有我你他她它们个其之此所"
+_FAMILY = "".join(sorted(SURNAMES))
+#: A family name and one or two more signs, where a word may begin before it and end after it.
+_HAN_INSIDE = re.compile(rf"(?:(?<=[{BEFORE_HAN}])|(?<!{_HAN}))(?=[{_FAMILY}](?P<given>(?!{'['}{_FUNCTION}{']'}){_HAN}(?![{_FUNCTION}]){_HAN}?))")
+_HAN_STOP = re.compile(rf"[{AFTER_HAN}]|[^一-鿿]|$")
+#: Two to four signs that stand by themselves, or two parts of a name with a sign between them.
+_HAN_ALONE = re.compile(rf"(?<!{_HAN})(?<![　·•]){_HAN}{{2,3}}(?!{_HAN})(?![　·•]{_HAN})|(?=({_HAN}[　·•]{_HAN}{{1,2}}))")
+_HONORIFIC = re.compile("先生|女士|老师|同志|教授|小姐|博士|主任|经理|医生|律师|师傅")
 _NUMBER_CORE = re.compile(r"[0-9０-９][0-9０-９ \-./()（）－·]{5,}[0-9０-９]")
 _TWO_DIGITS = re.compile("[0-9]{2,}")
 _ZH_ANCHOR = re.compile(r"(?:路|街|巷|里|大道|道|弄|胡同)\s?[0-9０-９]")
 _DIGIT = re.compile("[0-9]")
 _FR_NUMBER = re.compile(r"[0-9](?: ?(?:bis|ter|quater|[A-D]))?,?$")
 
-# --- fixed values: what makes a place worth a look; the letter says for what
+# --- fixed values: signs of a mail address and words of streets, by the generator that looks there
 ANCHORS = {
     "@": ("@", "＠", "#", "＃", "(at)", "[at]", "{at}", "(AT)", "[AT]", "（at）", "(a)", "[a]", " at ", " AT ", "( at )", "[ at ]", " arobase ", "艾特"),
-    "N": ("Contact", "contact", "sk for", "ccording to", "twice by", " by", "file of", "uthor", "utor", "uteur", "igné", "igned", "gez.", "ausgestellt auf", "gibt", "elon", "Dr", "Ms", "Mr", "Mrs", "Prof", "Mme", "Mlle", "M.", "Herr", "Herrn", "Frau", "—",
-          "édaction", "ame:", "om :", "om:", "nterview", "edakteur", "nsprechpartner", "earbeiter", "and Ms", "and Mr", "and Dr", "und Frau", "und Herr", "et Mme", "et M.", " von", " par", "dited", "irector", "anager"),
-    "L": ("联系人", "经办人", "申请人", "签发人", "负责人", "报名人", "收件人", "监护人", "公示对象", "获奖者", "获奖者为", "当事人", "患者", "姓名", "作者", "编辑", "审核", "校对", "据", "经", "和", "由"),
     "E": tuple(f" {w}" for w in "Street St Road Rd Lane Ln Avenue Ave Crescent Cres Close Drive Dr Court Ct Place Pl Square Sq Terrace Way Hill Row Gardens Boulevard Blvd Walk Mews Parade Green Yard Quay Wharf Grove Park View Rise Vale Circus Circle Highway Parkway Alley Gate Croft Esplanade Promenade".split()),
     "D": tuple(f"{w} " for w in "traße trasse tr. Weg weg Platz platz Allee allee Gasse gasse Ring ring Ufer ufer Damm damm Markt markt Steig steig haussee".split()),
     "F": tuple(f" {w} " for w in "rue avenue av. boulevard bd chemin quai place impasse allée allee cours route square passage sentier venelle".split()),
-    "R": ("老师", "先生", "女士", "同志", "教授", "收。", "收，", "收）", "介绍", "两位"),
 }
 
 
@@ -116,43 +133,24 @@ def spans(text: str) -> list[Span]:
         end += 1
         if use == "@":
             _add_email(text, end - n, out)
-        elif use == "N":
-            _add_latin_name(text, end, out)
         elif use == "E":
-            if _DIGIT.search(text, max(0, end - 44), end):
-                _add_street(_EN_STREET, text, end - n, end, out)
+            _add_street(_EN_STREET, text, end - n, end, out)
         elif use == "D":
             if _DIGIT.match(text, end):
                 _add_street(_DE_STREET, text, end - n, end, out)
-        elif use == "F":
-            if _FR_NUMBER.search(text, max(0, end - n - 10), end - n):
-                _add_street(_FR_STREET, text, end - n, end, out)
-        elif use == "L":
-            colon = text[end : end + 1] in ("：", ":", "为", "是")
-            for at in {end + colon, end + colon + (text[end + colon : end + colon + 1] == " ")}:
-                _add_han_name(text, at, out)
-        else:
-            m = _ZH_BEFORE.search(text, max(0, end - n - 5), end - n)
-            if m:
-                out.add(Span(NAME, m.start(1), m.end(1)))
-            m = _ZH_PAIR.search(text, max(0, end - n - 10), end - n)
-            if m:
-                out.add(Span(NAME, *m.span(1)))
-                out.add(Span(NAME, *m.span(2)))
-    for m in _NAME_LINE.finditer(text):
-        _add_latin_name(text, m.end(), out, cue=False)
-    for m in _ZH_LINE.finditer(text):
-        _add_han_name(text, m.end(), out)
-    if "|" in text or "(" in text:
-        for m in _NAME_CELL.finditer(text):
-            _add_latin_name(text, m.end(), out, cue=False)
+        elif _FR_NUMBER.search(text, max(0, end - n - 12), end - n):
+            _add_street(_FR_STREET, text, end - n, end, out)
+    for run in _RUN.finditer(text):
+        _add_latin_names(text, run.start(), run.end(), out)
+    if not text.isascii():
+        _add_han_names(text, out)
     for core in _NUMBER_CORE.finditer(text):
         _add_numbers(text, core.start(), core.end(), out)
     for digits in _TWO_DIGITS.finditer(text):
         at, end = digits.span()
         before, after = text[max(0, at - 2) : at], text[end : end + 2]
         if before.strip()[-1:].isupper() or after.strip()[:1].isupper() or after[:1] == "x" or end - at == 6 and after[:1] == " ":
-            for m in _CODE.finditer(text, max(0, at - 20), end + 24):
+            for m in _CODE.finditer(text, max(0, at - CODE_CHARS), end + CODE_CHARS):
                 out.add(Span(ID_NUMBER, *m.span()))
     if "０" in text or "９" in text:
         for m in _WIDE_CODE.finditer(text):
@@ -162,16 +160,85 @@ def spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-_ZH_PAIR = re.compile(rf"({_HAN}[　·• ]?{_HAN}{{1,2}})、({_HAN}[　·• ]?{_HAN}{{1,2}})$")
+#: No code that _CODE can match is longer, and no Chinese address reaches further before its street's number or after it.
+CODE_CHARS = 48
+HAN_BEFORE, HAN_AFTER = 26, 72
+#: Words before and after the word for a street that an address can hold.
+STREET_WORDS = 9
+
+
+def _add_latin_names(text: str, start: int, end: int, out: set[Span]) -> None:
+    """Every two and three neighbouring words of a run of capitalised words, but for words that no person is called by.
+
+    A comma may part the family name from the given name. Words of organisations end a run, and what stands right before
+    such a word belongs to it.
+    """
+    if text[max(0, start - 4) : start].lower() == "the ":
+        return  # no person is called with it
+    words: list[tuple[int, int, bool]] = []  # start, end, comma after it
+    for m in [*_TOKENS.finditer(text, start, end), None]:
+        word = m and m[2]
+        organisation = word and _ORG_WORD.fullmatch(word)
+        if m and not organisation and word not in STARTERS and word.capitalize() not in STARTERS and (not _TITLE_WORD.fullmatch(word) or words or word == "M."):
+            words.append((m.start(), m.end(2), bool(m[3])))
+            continue
+        if not organisation:
+            _add_windows(text, words, out)
+        elif len(words) > 2:
+            _add_windows(text, words[:-2], out)  # two words before it are its name
+        words = []
+
+
+def _add_windows(text: str, words: list[tuple[int, int, bool]], out: set[Span]) -> None:
+    for i in range(len(words) - 1):
+        for n in (2, 3):
+            own = words[i : i + n]
+            commas = sum(w[2] for w in own[:-1])
+            if len(own) == n and (not commas or own[0][2] and commas == 1) and not text[own[-1][0] : own[-1][1]].endswith("."):
+                first = own[0][0] if text[own[0][0]].isupper() else text.index(" ", own[0][0]) + 1
+                out.add(Span(NAME, first, own[-1][1]))
+
+
+def _add_han_names(text: str, out: set[Span]) -> None:
+    """A family name and one or two signs at the edges of words, and two or three signs that stand alone."""
+    for m in _HAN_INSIDE.finditer(text):
+        at, given = m.start(), m["given"]
+        if text[at : at + 2] in COMMON_WORDS:
+            continue
+        for n in range(1, len(given) + 1):
+            end = at + 1 + n
+            if (_HAN_STOP.match(text, end) or n == 2) and text[end - 1] not in OBJECT_ENDS:
+                out.add(Span(NAME, at, end))
+    for m in _HAN_ALONE.finditer(text):
+        at, end = m.span(1) if m[1] else m.span()
+        if text[at : at + 2] not in COMMON_WORDS and text[end - 1] not in OBJECT_ENDS:
+            out.add(Span(NAME, at, end))
+        if m[1]:
+            out.add(Span(NAME, at, at + 3))
+    for m in _HONORIFIC.finditer(text):
+        for n in (2, 3):
+            if m.start() >= n and all(map(_IS_HAN.match, text[m.start() - n : m.start()])):
+                out.add(Span(NAME, m.start() - n, m.start()))
+
+
+_IS_HAN = re.compile(_HAN)
+_ORG_WORD = re.compile(rf"(?:{ORGANISATION})|\w+(?:{ORGANISATION})")
+_TITLE_WORD = re.compile(TITLES)
+_LOCAL_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
 def _add_email(text: str, at: int, out: set[Span]) -> None:
-    m = _AT.search(text, max(0, at - 1), at + 90)
-    if m and m.start() <= at + 1:
-        left = _LOCAL.search(text, max(0, m.start() - 70), m.start())
-        right = _HOST.match(text, m.end())
-        if left and right:
-            out.add(Span(EMAIL, left.start(), right.end()))
+    m = _AT.match(text, max(0, at - 1)) or _AT.match(text, at)
+    if not m:
+        return
+    left = m.start()
+    while left and text[left - 1] in _LOCAL_SIGNS:
+        left -= 1
+    while left < m.start() and not text[left].isalnum():
+        left += 1
+    right = _HOST.match(text, m.end())
+    if left < m.start() and right:
+        out.add(Span(EMAIL, left, right.end()))
 
 
 #: Days as numbers; they are proposed as nothing.
@@ -217,11 +284,13 @@ _MASK = re.compile(r"[0-9０-９][*_-]*[*_]$")
 
 
 def _add_han_address(text: str, anchor: int, out: set[Span]) -> None:
-    for m in _ZH_STREET.finditer(text, max(0, anchor - 16), anchor + 48):
-        if m.end() > anchor:
+    for m in _ZH_STREET.finditer(text, max(0, anchor - HAN_BEFORE), anchor + HAN_AFTER):
+        if m.start() < anchor < m.end():
             out.add(Span(ADDRESS, *m.span()))
-            for k in range(1, 8):  # a town may be proposed with what stands before it
-                if _TOWN_AT.match(text, m.start() + k) and m.start() + k + 4 < anchor:
+            for k in range(1, m.end() - m.start()):  # a town may be proposed with what stands before it
+                if m.start() + k + 4 >= anchor:
+                    break
+                if _TOWN_AT.match(text, m.start() + k):
                     out.add(Span(ADDRESS, m.start() + k, m.end()))
 
 
@@ -229,47 +298,26 @@ _TOWN_AT = re.compile(rf"{_HAN}{{2}}[省市县区镇乡]")
 
 
 def _add_street(pattern: re.Pattern, text: str, at: int, end: int, out: set[Span]) -> None:
-    """Addresses around the word for a street at ``at`` to ``end``; they hold a number."""
-    for m in pattern.finditer(text, max(0, at - 44), end + 64):
+    """Addresses around the word for a street at ``at`` to ``end``, within STREET_WORDS words; they hold a number."""
+    first, last = at, end
+    for _ in range(STREET_WORDS):
+        first = max(text.rfind(" ", 0, first), text.rfind("\n", 0, first), 0)
+        last = text.find(" ", last + 1)
+        if last < 0:
+            last = len(text)
+    if not _DIGIT.search(text, first, last):
+        return
+    for m in pattern.finditer(text, first, last):
         if m.start() < end and m.end() > at and _DIGIT.search(m.group()):
             out.add(Span(ADDRESS, *m.span()))
 
 
-def _add_latin_name(text: str, at: int, out: set[Span], cue: bool = True) -> None:
-    if cue:
-        gap = _AFTER_CUE.match(text, at + (text[at : at + 2] in (" :", "\xa0:")))
-        if not gap:
-            return
-        at = gap.end()
-        # what looks like a title may be an initial
-        untitled = at - len(gap.group().lstrip(".:： \t\n"))
-        if untitled != at:
-            _add_latin_name(text, untitled, out, cue=False)
-    m = _LATIN_NAME.match(text, at)
-    if m:
-        out.add(Span(NAME, *m.span()))
-        words = m.group().split(" ")
-        if len(words) > 2:
-            out.add(Span(NAME, m.start(), m.start() + len(" ".join(words[:2]))))
-
-
-def _add_han_name(text: str, at: int, out: set[Span]) -> None:
-    """Two and three Han characters from ``at`` on, or a family name and what follows a separator, where they end."""
-    if not "一" <= text[at : at + 1] <= "鿿":
-        return
-    mid = 1 if text[at + 1 : at + 2] in ("　", "·", "•", " ") else 0
-    for n in (1, 2) if mid else (2, 3):
-        end = at + n + 2 * mid if mid else at + n
-        if end <= len(text) and all("一" <= c <= "鿿" for c in text[at + 1 + mid : end]) and _ZH_RIGHT.match(text, end) and text[end - 1] not in PAPER_ENDS and not _COMMON_WORD.fullmatch(text, at, end):
-            out.add(Span(NAME, at, end))
-
-
-_CTX = re.compile("|".join(f"({p})" for p in (PHONE_WORDS, ID_WORDS, MAIL_WORDS, ADDRESS_WORDS, NAME_WORDS, NUMBER_WORDS)))
-_AFTER_NUMBER, _AFTER_NAME, _ORG = re.compile(NUMBER_AFTER), re.compile(NAME_AFTER), re.compile(ORGANISATION)
+_CTX = re.compile("|".join(f"({p})" for p in (PHONE_WORDS, ID_WORDS, MAIL_WORDS, ADDRESS_WORDS, NUMBER_WORDS)))
+_CUE = re.compile(NAME_WORDS)
+_AFTER_NUMBER, _ORG = re.compile(NUMBER_AFTER), re.compile(ORGANISATION)
 _GROUPS = re.compile(rf"{_D}+")
 _GROUP_OF_7 = re.compile(rf"{_D}(?:[ .()（）/-]{{0,2}}{_D}){{6,}}")
-_COMMON_WORD = re.compile(COMMON_WORDS)
-FEATURES = 64
+FEATURES = 56
 
 
 #: A digit group next to a span and what parts it from the span.
@@ -307,34 +355,92 @@ def _plausible_birth(digits: str) -> float:
     return float(1900 <= y <= 2030 and 1 <= m <= 12 and 1 <= d <= 31)
 
 
-def features(text: str, span: Span) -> list[float]:
-    """What ``span`` looks like: its format, then its surroundings, as FEATURES numbers."""
+def capitalised(text: str) -> set[str]:
+    """The different words of a text that begin with a capital."""
+    return set(_CAPITAL.findall(text))
+
+
+def features(text: str, span: Span, frequent: Mapping[str, float]) -> list[float]:
+    """What ``span`` looks like: its format, then its surroundings, as FEATURES numbers; names have features of their own.
+
+    ``frequent``: pairs of Han signs and capitalised words that stand in many texts, with the per cent of the texts.
+    """
     s = text[span.start : span.end]
     line_start = text.rfind("\n", 0, span.start) + 1
-    left = text[max(line_start, span.start - 44) : span.start]
-    stop = text.find("\n", span.end, span.end + 20)
-    right = text[span.end : stop if stop >= 0 else span.end + 20]
+    stop = text.find("\n", span.end)
+    line_end = stop if stop >= 0 else len(text)
+    own = _name_features if span.kind == NAME else _number_features
+    line = text[line_start:line_end] if line_end - line_start < 200 else text[max(line_start, span.start - 80) : min(line_end, span.end + 80)]
+    f = own(s, text[max(line_start, span.start - 44) : span.start], text[span.end : min(line_end, span.end + 24)], line, span.kind)
+    if span.kind == NAME and _IS_HAN.match(s):
+        pairs = [frequent.get(text[k : k + 2], 0.0) for k in range(max(0, span.start - 1), span.end)]
+        inside = pairs[span.start > 0 : -1]
+        f += [max(inside), min(inside), pairs[0] if span.start else 0.0, pairs[-1]]
+    elif span.kind == NAME:
+        words = [frequent.get(w, 0.0) for w in _CAPITAL.findall(s)] or [0.0]
+        f += [words[0], words[-1], max(words), min(words)]
+    return [*map(float, f), *[0.0] * (FEATURES - len(f))]
+
+
+def _number_features(s: str, left: str, right: str, line: str, kind: int) -> list:
     narrow = s if s.isascii() else _narrow(s)
     groups = _GROUPS.findall(narrow)
     digits = "".join(groups)
-    letters = [c for c in s if c.isalpha()]
-    words = s.replace("-", " ").split()
-    f = [float(span.kind == k) for k in range(5)]
-    f += [len(s), len(digits), len(letters), len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, max(map(len, groups), default=0)]
-    f += [narrow.startswith(("+", "00", "＋")), narrow[:1] == "0", bool(re.match(r"(?:\+86 ?|0086)?1[3-9]?\d", narrow)) and len(digits) in (11, 13, 15), narrow[:1] in "(（", " " in s, "-" in s, "." in s, "/" in s]
-    f += [bool(re.search(r"转|ext|Durchwahl|poste|分机", s)), narrow[-1:] == "X", _plausible_birth(digits), digits[:4] in ("2024", "2023", "2025"), digits[:3] in ("978", "979"), digits[:2] in ("19", "20") and len(digits) == 8]
-    f += [bool(re.match(r"\d{4}[-./]\d{1,2}[-./]\d{1,2}(?!\d)|\d{1,2}[./]\d{1,2}[./]\d{4}", narrow)), "." in s and s.count(".") >= 2 and bool(re.fullmatch(r"[\d.]+", s)), bool(re.match(r"[A-Z]", s)), bool(re.search(r"[A-Z]$", s))]
-    nearest, last = -1, [-40] * 6
+    f = [kind == k for k in range(4)]
+    f += [len(s), len(digits), sum(map(str.isalpha, s)), len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, max(map(len, groups), default=0)]
+    f += [narrow.startswith(("+", "00", "＋")), narrow[:1] == "0", bool(_MOBILE.match(narrow)) and len(digits) in (11, 13, 15), narrow[:1] in "(（", " " in s, "-" in s, "." in s, "/" in s]
+    f += [bool(_EXTENDED.search(s)), narrow[-1:] == "X", _plausible_birth(digits), 2015 <= int(digits[:4] or 0) <= 2030, digits[:3] in ("978", "979"), digits[:2] in ("19", "20") and len(digits) == 8]
+    f += [bool(_DATE_LIKE.match(narrow)), s.count(".") >= 2 and bool(_DOTTED.fullmatch(s)), "A" <= s[:1] <= "Z", "A" <= s[-1:] <= "Z"]
+    nearest, last = -1, [-40] * 5
     for m in _CTX.finditer(left):
         nearest = m.lastindex - 1
         last[nearest] = m.end() - len(left)
-    f += [*last, nearest]
-    f += [bool(_AFTER_NUMBER.match(right)), bool(_AFTER_NAME.match(right)), not left.strip(" -*>|"), not right.strip(" |.。"), "|" in left[-2:] , "|" in right[:2]]
-    f += [bool(_ORG.search(s)), bool(_ORG.search(right[:14])), len(words), sum(w.isupper() and len(w) > 2 for w in words), sum(bool(re.fullmatch(r"\w\.", w)) for w in words), ", " in s]
-    han = "一" <= s[:1] <= "鿿"
+    f += [*last, nearest, bool(_AFTER_NUMBER.match(right)), not left.strip(" -*>|"), not right.strip(" |.。"), "|" in left[-2:], "|" in right[:2]]
     before = left[-1:]
-    line = text[line_start : stop if stop >= 0 else span.end + 60]
-    f += [len(_GROUP_OF_7.findall(line)), s[-1:] in OBJECT_ENDS, "@" in line or "＠" in line or "[at]" in line or "(at)" in line, span.kind == NAME and bool(_COMMON_WORD.search(s))]
-    f += [han, han and s[:1] in SURNAMES, (before in "住寄来往至到在于，。：:（(、| 　" if before else True), bool(re.search(r"市|县|区|省", s[3:5])) if han else False, bool(re.search(r"\d{5} [A-ZÀ-Þ]|[A-Z]{1,2}\d[0-9A-Z]? ?\d[A-Z]{2}", s))]
-    f += _beside(left, right) if span.kind in (PHONE, ID_NUMBER) else [0.0] * 6
-    return [float(x) for x in f]
+    f += [len(_GROUP_OF_7.findall(line)), "@" in line or "＠" in line, "一" <= s[:1] <= "鿿", before in BEFORE_HAN or not _IS_HAN.match(before) if before else True, bool(_TOWN_NEXT.search(s[3:5])), bool(_POSTCODE.search(s))]
+    return f + (_beside(left, right) if kind in (PHONE, ID_NUMBER) else [0] * 6)
+
+
+_CAPITAL = re.compile(rf"(?<!\w)[{_UP}][\w'’-]+")
+_MOBILE, _EXTENDED, _DOTTED = re.compile(r"(?:\+86 ?|0086)?1[3-9]?\d"), re.compile(r"转|ext|Durchwahl|poste|分机"), re.compile(r"[\d.]+")
+_DATE_LIKE = re.compile(r"\d{4}[-./]\d{1,2}[-./]\d{1,2}(?!\d)|\d{1,2}[./]\d{1,2}[./]\d{4}")
+_TOWN_NEXT, _POSTCODE = re.compile("[市县区省]"), re.compile(r"\d{5} [A-ZÀ-Þ]|[A-Z]{1,2}\d[0-9A-Z]? ?\d[A-Z]{2}")
+_WORD_LEFT, _WORD_RIGHT = re.compile(r"([\w'’]+)\W{1,2}$"), re.compile(r"\W{0,3}?([^\W\d]+)")
+_SIGNS = {c: k for k, c in enumerate(",.:;(|—–'’\"“「》）)、。，：；（", 2)}
+
+
+def _word_class(word: str) -> int:
+    """1: determiner, 2: preposition, 3: conjunction, 4: title, 5: with a capital, 6: a number, 7: ends like a verb, 8: another,
+    9: a preposition of place."""
+    low = word.lower()
+    for k, words in ((1, DETERMINERS), (9, PLACE_PREPOSITIONS), (2, PREPOSITIONS), (3, CONJUNCTIONS)):
+        if low in words:
+            return k
+    if _TITLE_WORD.fullmatch(word):
+        return 4
+    if word[:1].isupper():
+        return 5
+    return 6 if word[:1].isdigit() else 7 if low.endswith(("ed", "es", "te", "it", "ait", "hat", "ist", "as", "id", "ll", "was", "ote", "ame", "eft", "aid")) else 8
+
+
+def _name_features(s: str, left: str, right: str, line: str, kind: int) -> list:
+    han = _IS_HAN.match(s) is not None
+    alone_left, alone_right = not left.strip(" -*>|—–　"), not right.strip(" |　\r")
+    cue = None
+    for cue in _CUE.finditer(left[-24:]):
+        pass
+    f = [han, len(s), alone_left, alone_right, "|" in left[-2:], "|" in right[:2], "@" in line or "＠" in line, len(_GROUP_OF_7.findall(line)), len(line)]
+    f += [cue.end() - len(left[-24:]) if cue else -40, _SIGNS.get(left[-1:], 1 if left[-1:].isspace() else 0), _SIGNS.get(right[:1], 1 if right[:1].isspace() else 0), bool(_ORG.search(s)), bool(_ORG.search(right[:18])), right[:4].strip()[:1].isdigit()]
+    if han:
+        given = s[1:].strip("　·•")
+        f += [s[0] in SURNAMES, len(given), len(s) - 1 - len(given), sum(c in GIVEN_HAN for c in given), s[:2] in COMMON_WORDS or s[-2:] in COMMON_WORDS, s[-1] in AFTER_HAN, any(c in SURNAMES for c in given)]
+        f += [left[-1:] in BEFORE_HAN if left else -1, left[-1:] in "人者员师长生" if left else -1, left[-1:] in "据经由被请让给对向找问见与和跟同及" if left else -1, bool(left) and _IS_HAN.match(left[-1]) is not None]
+        return [*f, right[:1] in AFTER_HAN if right else -1, bool(right) and _IS_HAN.match(right) is not None, right[:2] in COMMON_WORDS, bool(_HONORIFIC.match(right))]
+    words = s.replace(",", "").split(" ")
+    before, after = _WORD_LEFT.search(left), _WORD_RIGHT.match(right)
+    f += [0] * 15
+    f += [len(words), sum(len(w) == 2 and w[1] == "." for w in words), sum(len(w) > 2 and w.isupper() for w in words), "," in s, "-" in s, min(map(len, words)), max(map(len, words)), sum(w in STARTERS for w in words)]
+    f += [_word_class(before[1]) if before else 0, _word_class(after[1]) if after else 0, bool(before) and before[0][-2:-1] != "." and before[1][:1].isupper(), bool(after) and right[:1] == " " and after[1][:1].isupper(), len(after[1]) if after else 0]
+    f += [left.rstrip()[-1:] in ".!?。！？" or alone_left, len(before[1]) if before else 0]
+    # text in capitals throughout
+    return [*f, sum(map(str.isupper, left[-20:])) / (1 + sum(map(str.isalpha, left[-20:]))), sum(map(str.isupper, right[:20])) / (1 + sum(map(str.isalpha, right[:20])))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections import Counter
 
 import pytest
@@ -12,11 +14,11 @@ from loam.llm.pii_spans import FEATURES, TYPES, features, spans
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return pii_model.fitted(spark, sentences=2500)
+    return pii_model.fitted(spark)
 
 
 def test_held_out_accuracy(model):
-    made = [pii_model.labelled_sentence(10**9 + i) for i in range(800)]
+    made = [pii_model.labelled_text(10**9 + i) for i in range(800)]
     got = dict(pii.found_spans([t for t, _ in made], model))
     right, wrong, missed = Counter(), Counter(), Counter()
     for i, (_, gold) in enumerate(made):
@@ -25,14 +27,15 @@ def test_held_out_accuracy(model):
         wrong.update(s[0] for s in own - gold)
         missed.update(s[0] for s in gold - own)
     for k, name in enumerate(TYPES):
-        assert right[k] / (right[k] + wrong[k]) > 0.93, name
-        assert right[k] / (right[k] + missed[k]) > 0.85, name
+        # made sentences name people without any cue and hold random words that look like names
+        assert right[k] / (right[k] + wrong[k]) > (0.93 if name != "person_name" else 0.83), name
+        assert right[k] / (right[k] + missed[k]) > (0.85 if name != "person_name" else 0.83), name
 
 
 def test_model_arrays_agree_with_thresholds(model):
     assert len(model.cut) == len(TYPES) and all(0 < c < 1 for c in model.cut)
     text = "Contact Ann Miller on +44 7700 900123."
-    assert all(len(features(text, s)) == FEATURES for s in spans(text))
+    assert all(len(features(text, s, {})) == FEATURES for s in spans(text))
 
 
 def test_redaction_changes_nothing_else(spark, model):
@@ -84,3 +87,62 @@ def test_numbers_side_by_side_are_found(model):
     got = dict(pii.found_spans(texts, model))
     for i, text in enumerate(texts):
         assert {text[s.start : s.end] for s in got.get(i, [])} == set(SIDE_BY_SIDE.get(text) or SIDE_BY_SIDE[text[5:]])
+
+
+#: Names in running prose without any word that announces them.
+UNCUED = {
+    "We met Jonathan Clarke, who lives in Leeds.": ("Jonathan Clarke",), "My neighbour's landlord is Thomas Weber and he pays late.": ("Thomas Weber",), "Yesterday Anna Miller called twice.": ("Anna Miller",),
+    "It rained while Peter van Dyke and Mary-Ann O'Neill walked home.": ("Peter van Dyke", "Mary-Ann O'Neill"), "Nobody but J. Hartley had the key.": ("J. Hartley",), "Later Rosa M. Keller sold it.": ("Rosa M. Keller",),
+    "Gestern kam Ulrike Brandt vorbei.": ("Ulrike Brandt",), "Das Haus gehört Jürgen Groß seit Jahren.": ("Jürgen Groß",), "Hier ist Chloé Lefèvre avec Jean-Paul Petit.": ("Chloé Lefèvre", "Jean-Paul Petit"),
+    "Le chien de Luc Moreau dort.": ("Luc Moreau",), "昨天王小明到了北京。": ("王小明",), "小组成员有李建国。": ("李建国",), "我和张丽去看了电影。": ("张丽",), "晚上陈志强打来电话。": ("陈志强",), "这本书送给赵敏，她很高兴。": ("赵敏",),
+    "孙桂兰的孩子上学了。": ("孙桂兰",), "大家推选周海波当队长。": ("周海波",), "听说郑凯、吴晓玲都来了。": ("郑凯", "吴晓玲"), "司机刘建军开得很稳。": ("刘建军",), "钥匙在徐红手里。": ("徐红",),
+}
+
+
+FRESH = {
+    "店里的黄志明不爱说话。": ("黄志明",), "我爱人何静在医院上班。": ("何静",), "明天由林晓东主持。": ("林晓东",), "她把伞借给了罗美玲。": ("罗美玲",), "门口站着宋涛和谢芳。": ("宋涛", "谢芳"), "他叫韩冰。": ("韩冰",),
+    "Then Olivia Hart laughed.": ("Olivia Hart",), "Ask whether Samuel Brooks has gone.": ("Samuel Brooks",), "Dort wartet Katrin Vogel.": ("Katrin Vogel",), "Puis Manon Girard sortit.": ("Manon Girard",),
+}
+
+
+def test_generators_find_names_without_cues():
+    wanted = [(text, name) for text, names in UNCUED.items() for name in names]
+    got = [name in {text[s.start : s.end] for s in spans(text)} for text, name in wanted]
+    wanted += [(text, name) for text, names in FRESH.items() for name in names]
+    got += [name in {text[s.start : s.end] for s in spans(text)} for text, name in wanted[len(got) :]]
+    assert sum(got) >= 0.9 * len(wanted), [w for w, g in zip(wanted, got) if not g]
+
+
+def test_long_parts_of_addresses_are_proposed_whole():
+    mail = "a" * 300 + "@" + "b" * 120 + ".example"
+    street = "Flat 12, 45 Haversham-upon-the-water-and-over-the-hills-far-from-town Bartholomewchurch Road, Oldcastletonbridge"
+    han = "清源省安平市宁和县永丰镇东阳南山大道12号3幢4单元506室"
+    for part in (mail, street, han):
+        text = f"x {part} y"
+        assert part in {text[s.start : s.end] for s in spans(text)}
+
+
+def test_labelled_texts_are_not_taken_from_the_corpus():
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    import pyarrow.parquet as pq
+
+    corpus = "\n".join(t or "" for t in pq.read_table(folder, columns=["text"])["text"].to_pylist())
+    parts = [*pii_model.FIELDS, *pii_model.OTHERS, *(x for by in (pii_model.BEFORE_NAME, pii_model.AFTER_NAME) for y in by.values() for x in y), *(x for y in pii_model.CLAUSES.values() for z in y for x in z)]
+    literals = {x.strip() for part in parts for x in re.split(r"\{\w+\}", part)}
+    assert not [x for x in literals if len(x) >= 8 and x in corpus]
+
+
+def test_saved_model_gives_the_same(spark, model, tmp_path):
+    model.save(spark, str(tmp_path / "model"))
+    again = pii_model.SpanModel.load(spark, str(tmp_path / "model"))
+    texts = [pii_model.labelled_text(10**8 + i)[0] for i in range(50)]
+    assert list(pii.found_spans(texts, again)) == list(pii.found_spans(texts, model))
+
+
+def test_frequent_parts_count_every_text_once(spark):
+    rows = [(i, "同时明确 Water Water" if i % 2 else None) for i in range(60)] + [(100, "")]
+    counted = pii.frequent_parts(spark.createDataFrame(rows, "doc_id long, text string"))
+    share = 100 * 30 / (31 + pii_model.PRIOR)
+    assert counted.keys() == {"同时", "时明", "明确", "Water"} and all(abs(v - min(1, share)) < 1e-9 for v in counted.values())
