@@ -2,16 +2,19 @@
 
 Texts are compared as rows of letters and digits, without case, spacing, punctuation, markup and character width. A
 spaced seed is a mask over a window of these characters: the hash of a window ignores the masked-out positions, so that
-a wrong character there does no harm, and several masks leave few errors that harm all of them. The hashes of the test
-items are joined with those of the documents; around the joined positions the texts are aligned and the length of the
-running passage is measured.
+a wrong character there does no harm, and several masks leave few errors that harm all of them. The hashes of a block of
+test items are joined with those of the documents in the scan of the documents; around each joined position the texts are
+aligned at once and the length of the running passage is measured. No text is shuffled. Test items of any size are
+searched in blocks, a scan each.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.textbytes import chunks, code_points, column
-from loam.sources.scratch import spread, stored
+from loam.sources.scratch import spread
 
 #: The spaced seeds: 1 is a position that counts. Ten of fourteen positions; no two masks ignore the same ones.
 MASKS = ("11101100101111", "11011110011011", "10111011110101")
 #: The part of an item that makes a leak when it stands in a document as one running passage.
 MIN_PART = 0.5
-#: Hits on one item that a document needs before it is aligned, and the window of document positions that is aligned.
-MIN_HITS = 6
 #: A passage ends where more than so many characters in a row don't match.
 MAX_GAP = 12
 #: Characters that must agree in a row to belong to a passage, and the part of a passage that such runs must cover.
 MATCH_RUN = 4
 MIN_EQUAL = 0.62
-#: Test items up to which their hashes are sent to every task: about 40 bytes a character of their text and mask.
-BROADCAST_ITEM_CHARS = 4_000_000
-_BLOOM_BITS = 22
+#: Characters of test items that are searched in one scan: their texts, and about 60 bytes a character as hashes, are in
+#: every worker.
+BLOCK_CHARS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,62 +78,81 @@ def seed_hashes(chars: np.ndarray, mask: str, number: int) -> np.ndarray:
     return out
 
 
-def item_seeds(items: list[tuple[int, str]]) -> dict[str, np.ndarray]:
-    """Hashes of all items: arrays hash (sorted), item (index), pos."""
-    parts = []
-    for i, (_, text) in enumerate(items):
-        chars, _ = compared([text or ""])
-        for k, mask in enumerate(MASKS):
-            h = seed_hashes(chars, mask, k)
-            parts.append((h, np.full(len(h), i, dtype=np.int32), np.arange(len(h), dtype=np.int32)))
-    if not parts:
-        return {"hash": np.zeros(0, np.uint64), "item": np.zeros(0, np.int32), "pos": np.zeros(0, np.int32)}
-    hashes, item, pos = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(hashes, kind="stable")
-    return {"hash": hashes[order], "item": item[order], "pos": pos[order]}
-
-
-def _bloom(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(1 << _BLOOM_BITS, dtype=bool)
-    bits[hashes >> np.uint64(64 - _BLOOM_BITS)] = True
-    return bits
+class Seeds(NamedTuple):
+    """A block of test items: their compared characters, and all their hashes in order with item (index) and position."""
 
+    chars: list[np.ndarray]
+    hash: np.ndarray
+    item: np.ndarray
+    pos: np.ndarray
+    #: Which top bits of a hash occur: about eight places for each hash rule out most windows of other texts.
+    bits: np.ndarray
+    shift: np.uint64
 
-def document_hits(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """Windows of the documents (doc_id, text) whose hash may be among ``hashes``: doc_id, pos, hash.
 
-    All windows are hashed; those that a table of bits rules out are not handed on, nor documents with fewer than
-    MIN_HITS windows left.
+def block_seeds(texts: tuple[str, ...]) -> Seeds:
+    chars = [compared([text])[0] for text in texts]
+    hashes, item, pos = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, own in enumerate(chars):
+        for k, mask in enumerate(MASKS):
+            hashes.append(seed_hashes(own, mask, k))
+            item.append(np.full(len(hashes[-1]), i))
+            pos.append(np.arange(len(hashes[-1])))
+    h = np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    width = max(16, int(8 * len(h)).bit_length())
+    bits, shift = np.zeros(1 << width, dtype=bool), np.uint64(64 - width)
+    bits[h >> shift] = True
+    return Seeds(chars, h[order], np.concatenate(item)[order], np.concatenate(pos)[order], bits, shift)
+
+
+def hits_of(chars: np.ndarray, offsets: np.ndarray, seeds: Seeds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows of the texts have the hash of an item's window: text (index), position in all characters, item."""
+    out = []
+    for k, mask in enumerate(MASKS):
+        h = seed_hashes(chars, mask, k)
+        at = np.flatnonzero(seeds.bits[h >> seeds.shift])
+        left = np.searchsorted(seeds.hash, h[at], "left")
+        n = np.searchsorted(seeds.hash, h[at], "right") - left
+        at, left, n = at[n > 0], left[n > 0], n[n > 0]
+        doc = np.searchsorted(offsets, at, side="right") - 1
+        inside = at + len(mask) <= offsets[doc + 1]
+        at, left, n, doc = at[inside], left[inside], n[inside], doc[inside]
+        row = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else left
+        out.append((np.repeat(doc, n), np.repeat(at, n), seeds.item[row.astype(np.int64)]))
+    doc, at, item = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((at, item, doc))
+    return doc[order], at[order], item[order]
+
+
+def leaks_of(texts: list[str], seeds: Seeds, min_part: float) -> Iterator[tuple[int, int, float]]:
+    """(text, item, part) for each text that holds at least ``min_part`` of an item of the block.
+
+    Hits of a text and an item that lie farther apart than twice the item are aligned by themselves.
     """
-    bits = _bloom(hashes)
+    chars, offsets = compared(texts)
+    doc, at, item = hits_of(chars, offsets, seeds)
+    if not len(doc):
+        return
+    sizes = np.array([len(c) for c in seeds.chars])
+    new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(at) > 2 * sizes[item[1:]])])
+    starts = np.flatnonzero(new)
+    ends = np.concatenate([starts[1:], [len(doc)]]) - 1
+    best: dict[tuple[int, int], float] = defaultdict(float)
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        d, i = int(doc[a]), int(item[a])
+        reach = 2 * len(seeds.chars[i])
+        low, high = max(int(offsets[d]), int(at[a]) - reach), min(int(offsets[d + 1]), int(at[b]) + reach)
+        best[d, i] = max(best[d, i], passage_part(seeds.chars[i], chars[low:high], min_part))
+    yield from ((d, i, part) for (d, i), part in best.items() if part >= min_part)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = np.array(column(batch, "doc_id"), dtype=np.int64), column(batch, "text")
-            for first, run in chunks(texts):
-                chars, offsets = compared(run)
-                found = []
-                for k, mask in enumerate(MASKS):
-                    h = seed_hashes(chars, mask, k)
-                    at = np.flatnonzero(bits[h >> np.uint64(64 - _BLOOM_BITS)])
-                    doc = np.searchsorted(offsets, at, side="right") - 1
-                    inside = at + len(mask) <= offsets[doc + 1]
-                    found.append((doc[inside], (at - offsets[doc])[inside], h[at[inside]]))
-                doc, pos, h = (np.concatenate(x) for x in zip(*found))
-                enough = np.bincount(doc, minlength=len(run))[doc] >= MIN_HITS
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + doc[enough]]), pa.array(pos[enough].astype(np.int32)), pa.array(h[enough].view(np.int64))],
-                    names=["doc_id", "pos", "hash"],
-                )
-
-    return spread(docs).mapInArrow(rows, "doc_id long, pos int, hash long")
-
-
-def passage_part(item: np.ndarray, doc: np.ndarray) -> float:
+
+def passage_part(item: np.ndarray, doc: np.ndarray, min_part: float = 0.0) -> float:
     """The longest running passage of ``item`` in ``doc`` as a part of the item.
 
     Runs of MATCH_RUN equal characters on nearby diagonals are chained as long as fewer than MAX_GAP characters of either
-    text lie between them; the passage reaches from the first run's start to the last one's end.
+    text lie between them; the passage reaches from the first run's start to the last one's end. 0 where the characters that
+    occur in such runs at all are too few for a passage of ``min_part``.
     """
     k = MATCH_RUN
     if len(item) < k or len(doc) < k:
@@ -149,6 +169,9 @@ def passage_part(item: np.ndarray, doc: np.ndarray) -> float:
     order = np.argsort(b, kind="stable")
     left, right = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
     count = right - left
+    covered = np.convolve(count > 0, np.ones(k, dtype=int)) > 0
+    if covered.sum() < MIN_EQUAL * min_part * len(item):
+        return 0.0
     i = np.repeat(np.arange(len(a)), count)
     j = order[np.repeat(left - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
     if not len(i):
@@ -186,46 +209,47 @@ def passage_part(item: np.ndarray, doc: np.ndarray) -> float:
     return best / len(item)
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, min_part: float = MIN_PART) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, min_part: float = MIN_PART, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents (doc_id, text) that hold at least ``min_part`` of an item's text (item_id, text) as one running passage.
 
     Output: doc_id, item_id, part. Each of several items with one text is found. Null and empty texts on either side
-    give nothing, nor do items shorter than a seed. The items are held-out test material and bounded: their size is
-    checked, and beyond BROADCAST_ITEM_CHARS characters the operator is to be called with blocks of items.
+    give nothing, nor do items shorter than a seed. Items of more than ``block_chars`` characters in all are divided into
+    blocks by hash, and the documents are scanned once for each block; a block's texts are in every worker. Of a repeated
+    or differing row of a doc_id or item_id the greatest part counts. Other columns are ignored.
     """
+    items = items.select("item_id", "text").where("item_id is not null and text is not null and text <> ''").distinct()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > BROADCAST_ITEM_CHARS:
-        raise ValueError(f"{size} characters of test items; pass them in blocks of {BROADCAST_ITEM_CHARS}")
-    known = sorted((r.item_id, r.text or "") for r in items.select("item_id", "text").where("item_id is not null").distinct().collect())
-    seeds = item_seeds(known)
-    spark = docs.sparkSession
-    seed_table = spark.createDataFrame(
-        pa.table({"hash": seeds["hash"].view(np.int64), "item": seeds["item"], "item_pos": seeds["pos"]})
-    )
-    docs = docs.select("doc_id", "text")
-    hits = document_hits(docs.where("text is not null and doc_id is not null"), seeds["hash"]).join(F.broadcast(seed_table), "hash")
-    # a passage's hits lie on a few neighbouring diagonals
-    near = hits.groupBy("doc_id", "item", F.floor((F.col("pos") - F.col("item_pos")) / 64).alias("band")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")
-    )
-    near = near.where(F.col("n") >= MIN_HITS).groupBy("doc_id").agg(F.collect_list(F.struct("item", "low", "high")).alias("near"))
-    texts = stored(near, "leak-candidates").join(docs, "doc_id")
-    chars = [compared([text])[0] for _, text in known]
+    blocks = max(1, -(-size // block_chars))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    found = None
+    for k in range(blocks):
+        part = _leaks_in(docs, items.where(block == k), min_part)
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("doc_id", "item_id").agg(F.max("part").alias("part"))
+
+
+def _leaks_in(docs: DataFrame, block: DataFrame, min_part: float) -> DataFrame:
+    """The leaks of one block of items: doc_id, item_id, part."""
+    ids: dict[str, list[int]] = defaultdict(list)
+    for row in block.collect():
+        ids[row.text].append(row.item_id)
+    texts = tuple(sorted(ids))
+    shared = docs.sparkSession.sparkContext.broadcast((texts, [ids[t] for t in texts]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, items = shared.value
+        seeds = block_seeds(own)
         for batch in batches:
-            out = []
-            for doc_id, near, text in zip(column(batch, "doc_id"), column(batch, "near"), column(batch, "text")):
-                doc, _ = compared([text])
-                parts: dict[int, float] = {}
-                for band in near:
-                    item = chars[band["item"]]
-                    low, high = max(0, band["low"] - len(item)), band["high"] + len(item)
-                    part = passage_part(item, doc[low:high])
-                    parts[band["item"]] = max(part, parts.get(band["item"], 0.0))
-                out += [(doc_id, known[i][0], part) for i, part in parts.items() if part >= min_part]
+            doc_ids = column(batch, "doc_id")
+            out = [
+                (doc_ids[first + d], item, part)
+                for first, run in chunks(column(batch, "text"))
+                for d, i, part in leaks_of(run, seeds, min_part)
+                for item in items[i]
+            ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "part"]
             )
 
-    return texts.mapInArrow(rows, "doc_id long, item_id long, part double").groupBy("doc_id", "item_id").agg(F.max("part").alias("part"))
+    return spread(docs).mapInArrow(rows, "doc_id long, item_id long, part double")

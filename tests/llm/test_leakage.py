@@ -76,10 +76,35 @@ def test_compared_characters(a, b):
     assert (L.compared([a])[0] == L.compared([b])[0]).all()
 
 
-def test_many_items_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(L, "BROADCAST_ITEM_CHARS", 10)
-    with pytest.raises(ValueError):
-        found(spark, [(1, "x")])
+def test_blocks_of_items_give_the_same(spark):
+    r = random.Random(3)
+    items = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=2000))) for i in range(600)] + ITEMS
+    docs = [(100 + k, prose(80 + k, 50) + items[k * 7][1][300:1500] + prose(90 + k, 50)) for k in range(80)] + [(900, ITEMS[0][1])]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(x) for x in L.leaked_items(d, e, block_chars=10_000_000).collect()}
+    assert {tuple(x) for x in L.leaked_items(d, e, block_chars=200_000).collect()} == whole
+    assert {(x[0], x[1]) for x in whole} == {(100 + k, k * 7) for k in range(80)} | {(900, 1), (900, 4)}
+
+
+def test_passage_across_any_band_of_diagonals(spark):
+    """Characters are put in all along, so that the diagonal moves by far more than one window."""
+    item = prose(7, 120)
+    moved = "".join(c + ("z" if i % 25 == 0 else "") for i, c in enumerate(item))
+    assert found(spark, [(1, prose(71, 500) + moved + prose(72, 500))], [(1, item)]) == {(1, 1)}
+
+
+def test_hits_against_a_plain_search():
+    texts = [ITEMS[0][1], ITEMS[1][1]]
+    seeds = L.block_seeds(tuple(texts))
+    chars, offsets = L.compared([prose(5, 30), texts[1][20:120], prose(6, 30) + texts[0][:80]])
+    doc, at, item = L.hits_of(chars, offsets, seeds)
+    plain = set()
+    for k, mask in enumerate(L.MASKS):
+        own = {int(h): i for i, t in enumerate(texts) for h in L.seed_hashes(L.compared([t])[0], mask, k)}
+        for d in range(3):
+            part = chars[offsets[d] : offsets[d + 1]]
+            plain |= {(d, int(offsets[d]) + p, own[int(h)]) for p, h in enumerate(L.seed_hashes(part, mask, k)) if int(h) in own}
+    assert set(zip(doc.tolist(), at.tolist(), item.tolist())) == plain
 
 
 def test_passage_in_self_repeating_text_is_joined_across_a_wrong_character():
