@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from loam.llm.textbytes import chunks, code_points, column
 from loam.sources.scratch import spread
 
-#: States expanded for a line at most; a garbled line needs about as many as it was wrongly decoded.
+#: States expanded for a line at most, where the caller sets no other number; a garbled line needs about as many as it
+#: was wrongly decoded. Lines whose search this ends are reported.
 MAX_STATES = 24
 #: How much cheaper the restored text must be.
 MIN_GAIN = 1.0
@@ -269,8 +270,10 @@ def without_mentions(text: str) -> str:
 
 
 @lru_cache(maxsize=20_000)
-def repaired(line: str) -> tuple[str, bool]:
-    """(the cheapest text reachable from ``line``, whether ``line`` was wrongly decoded).
+def repaired(line: str, max_states: int | None = MAX_STATES) -> tuple[str, bool, bool]:
+    """(the cheapest text reached from ``line``, whether ``line`` was wrongly decoded, whether the search came to its end).
+
+    ``max_states``: states to expand at most; None searches until nothing is open.
 
     Signs that the line only mentions are no case. What replacement characters stand for is lost: such a line is a case
     even where nothing cheaper is reached.
@@ -285,12 +288,13 @@ def repaired(line: str) -> tuple[str, bool]:
     first = cost(start)
     best, best_cost = start, first
     # (cost, text, whether encodings were changed on the way)
-    queue, seen, expanded = [(first, start, False)], {hash(start)}, 0
-    while queue and expanded < MAX_STATES:
+    queue, seen, expanded, ended = [(first, start, False)], {hash(start)}, 0, False
+    while queue and (max_states is None or expanded < max_states):
         here, text, recoded = heapq.heappop(queue)
         if recoded and here < best_cost:
             best, best_cost = text, here
         if here == 0 and recoded:
+            ended = True
             break
         expanded += 1
         for changed, after in _edges(text):
@@ -301,7 +305,7 @@ def repaired(line: str) -> tuple[str, bool]:
     if not garbled:
         best = start
     out = re.sub("\x02(\\d+)\x03", lambda m: mentions[int(m[1])], best)
-    return out, garbled or LOST in start
+    return out, garbled or LOST in start, ended or not queue
 
 
 _SUSPECT = np.zeros(26, dtype=bool)
@@ -332,12 +336,13 @@ def suspicious_lines(texts: list[str]) -> Iterator[tuple[int, list[tuple[int, in
         yield int(d), lines
 
 
-def repair_values(df: DataFrame, id_column: str, text_column: str, restore: bool = True) -> DataFrame:
+def repair_values(df: DataFrame, id_column: str, text_column: str, max_states: int | None = MAX_STATES) -> DataFrame:
     """The values of a text column that were wrongly decoded, wholly or in part.
 
-    Output: record_id, restored (the value with every garbled line at its cheapest reachable text), complete (whether
-    nothing of it is lost). With ``restore`` off, a value's search ends at its first garbled line and ``restored`` is
-    null. Null and empty values are no cases; a repeated row comes out as often as it stands; other columns are ignored.
+    Output: record_id, restored (the value with every garbled line at its cheapest reached text), complete (whether
+    nothing of it is lost), searched (whether the search of every such line came to its end before ``max_states`` states;
+    None sets no bound). Null and empty values are no cases; a repeated row comes out as often as it stands; other columns
+    are ignored.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,20 +350,18 @@ def repair_values(df: DataFrame, id_column: str, text_column: str, restore: bool
             ids, texts, out = column(batch, "record_id"), column(batch, "text"), []
             for first, run in chunks(texts):
                 for d, lines in suspicious_lines(run):
-                    text, parts, last, case = run[d], [], 0, False
+                    text, parts, last, case, searched = run[d], [], 0, False, True
                     for start, end in lines:
-                        good, garbled = repaired(text[start:end])
-                        case = case or garbled
-                        if garbled and not restore:
-                            break
+                        good, garbled, ended = repaired(text[start:end], max_states)
+                        case, searched = case or garbled, searched and (ended or not garbled)
                         parts += [text[last:start], good if garbled else text[start:end]]
                         last = end
                     if case:
-                        whole = "".join([*parts, text[last:]]) if restore else None
-                        out.append((ids[first + d], whole, LOST not in whole if restore else None))
+                        whole = "".join([*parts, text[last:]])
+                        out.append((ids[first + d], whole, LOST not in whole, searched))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.bool_()))], names=["record_id", "restored", "complete"]
+                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.bool_(), pa.bool_()))], names=["record_id", "restored", "complete", "searched"]
             )
 
     values = df.select(F.col(id_column).cast("long").alias("record_id"), F.col(text_column).alias("text"))
-    return spread(values.where("text is not null and record_id is not null")).mapInArrow(rows, "record_id long, restored string, complete boolean")
+    return spread(values.where("text is not null and record_id is not null")).mapInArrow(rows, "record_id long, restored string, complete boolean, searched boolean")

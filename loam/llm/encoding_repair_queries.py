@@ -14,21 +14,21 @@ from loam.sources.tables import read_table
 FIELDS = (("stored_doc", "stored_id", "content"), ("stored_doc", "stored_id", "title"), ("index_entry", "entry_id", "title"))
 
 
-def _all_fields(spark: SparkSession, folder: str, restore: bool) -> DataFrame:
+def _all_fields(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
-        repair_values(read_table(spark, folder, table), id_column, text, restore).select(F.lit(f"{table}.{text}").alias("record_field"), "*")
+        repair_values(read_table(spark, folder, table), id_column, text).select(F.lit(f"{table}.{text}").alias("record_field"), "*")
         for table, id_column, text in FIELDS
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _all_fields(spark, folder, restore=False).select("record_field", "record_id").distinct()
+    return _all_fields(spark, folder).select("record_field", "record_id").distinct()
 
 
 def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     """Every affected value with its restored text."""
-    return _all_fields(spark, folder, restore=True).dropDuplicates(["record_field", "record_id"])
+    return _all_fields(spark, folder).dropDuplicates(["record_field", "record_id"])
 
 
 QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored}

@@ -27,26 +27,35 @@ RANK_PARTS = 64
 
 
 @cache
-def _encoder(path: str):
-    """The tokenizer of a rank file, once a process; the split pattern stands beside the files."""
+def _tokenizer_files(path: str) -> tuple[str, bytes]:
+    """The split pattern, which stands beside the files, and the rank file; read by the driver."""
     import importlib.util
 
-    import tiktoken
-
     where = Path(path)
     module = importlib.util.spec_from_file_location("tokenizer_files", where.parent / "__init__.py")
     files = importlib.util.module_from_spec(module)
     module.loader.exec_module(files)
-    with where.open("rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(where.stem, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return files.PATTERN, where.read_bytes()
+
+
+@cache
+def _encoder(pattern: str, ranks: bytes):
+    """The tokenizer, made once a process."""
+    import tiktoken
+
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id and n_tokens of each text; special tokens' strings are ordinary text, null counts 0."""
+    """doc_id and n_tokens of each text; special tokens' strings are ordinary text, null counts 0.
+
+    The driver reads the tokenizer's files and sends them with the job (under 2 MB).
+    """
+    files = docs.sparkSession.sparkContext.broadcast(_tokenizer_files(tokenizer))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _encoder(*files.value).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
@@ -112,6 +121,22 @@ def pattern_ranges(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> l
     return out
 
 
+def rank_buckets(ranges: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int, int, int]]]:
+    """(length, width) of the buckets of each length, and the ranges by bucket: (length, bucket, low, high, container, times).
+
+    A length with many ranges has as many buckets, so that a rank meets a few ranges rather than all of its length.
+    """
+    by_length: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
+    for r in ranges:
+        by_length[r[0]].append(r)
+    widths, out = [], []
+    for length, own in by_length.items():
+        width = -(-(own[-1][2] + 1) // len(own))
+        widths.append((length, width))
+        out += [(length, bucket, *r[1:]) for r in own for bucket in range(r[1] // width, r[2] // width + 1)]
+    return widths, out
+
+
 def ranked(pieces: DataFrame) -> DataFrame:
     """``pieces`` with the rank within their length (from 0), by doc_id and piece_no within hashed parts of a length.
 
@@ -138,9 +163,12 @@ def pack(counts: DataFrame, capacity: int) -> DataFrame:
     pieces = stored(pieces_within(counts, capacity), "pack-pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranges = pattern_ranges(packing_patterns(histogram, capacity))
-    table = spark.createDataFrame(ranges, "length int, low long, high long, first_container long, times long")
-    # ranges are bounded by the capacity, not by the documents; each task gets them, sorted within a length
-    placed = ranked(pieces.where("length > 0")).join(F.broadcast(table), "length").where("rank between low and high")
+    widths, by_bucket = rank_buckets(ranges)
+    # both tables are bounded by the capacity, not by the documents
+    width = spark.createDataFrame(widths, "length int, width long")
+    table = spark.createDataFrame(by_bucket, "length int, bucket long, low long, high long, first_container long, times long")
+    placed = ranked(pieces.where("length > 0")).join(F.broadcast(width), "length").withColumn("bucket", F.floor(F.col("rank") / F.col("width")))
+    placed = placed.join(F.broadcast(table), ["length", "bucket"]).where("rank between low and high")
     container = F.col("first_container") + F.floor((F.col("rank") - F.col("low")) / F.col("times"))
     full = placed.select("doc_id", "piece_no", "token_start", "length", container.cast("long").alias("container_id"))
     none = pieces.where("length = 0").select("doc_id", "piece_no", "token_start", "length", F.lit(0).cast("long").alias("container_id"))

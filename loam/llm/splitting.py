@@ -14,10 +14,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.llm.textbytes import column
 from loam.sources.scratch import stored
 
 #: Kinds of boundary, the more natural the higher; GRID is none at all, a place where a cut does no harm.
@@ -63,9 +64,10 @@ def boundaries(text: str, max_size: int) -> list[tuple[int, int]]:
         for x, y in zip(stops, stops[1:]):
             for at in range(x + gap, y, gap):
                 back = at
-                while back > x and at - back < 64 and splits_character(text, back):
+                while back > at - gap + 1 and splits_character(text, back):
                     back -= 1
-                place = back if back > x and not splits_character(text, back) else at
+                # a run of signs that make one character and fill a whole grid step is cut all the same
+                place = at if splits_character(text, back) else back
                 found.setdefault(place, GRID)
     return sorted(found.items())
 
@@ -74,14 +76,17 @@ def boundary_table(records: DataFrame, max_size: int, overlap: int) -> DataFrame
     """Boundaries of each record (rec, text): rec, pos, kind, size. The start is the row whose kind is -1; it stands at
     ``overlap``, as the first piece begins at 0 and every other one ``overlap`` before its boundary."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rec, text in zip(batch["rec"], batch["text"]):
-                at = [(overlap, -1), *((p, k) for p, k in boundaries(text, max_size) if p > overlap)]
-                pos, kind = np.array(at, dtype=np.int32).T
-                yield pd.DataFrame({"rec": rec, "pos": pos, "kind": kind, "size": np.int32(len(text))})
+            parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
+            for rec, text in zip(column(batch, "rec"), column(batch, "text")):
+                at = np.array([(overlap, -1), *((p, k) for p, k in boundaries(text, max_size) if p > overlap)])
+                for part, values in zip(parts, (np.full(len(at), rec), at[:, 0], at[:, 1], np.full(len(at), len(text)))):
+                    part.append(values)
+            arrays = [pa.array(np.concatenate(part).astype(kind)) for part, kind in zip(parts, (np.int64, np.int32, np.int32, np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rec", "pos", "kind", "size"])
 
-    return records.mapInPandas(rows, "rec long, pos int, kind int, size int")
+    return records.mapInArrow(rows, "rec long, pos int, kind int, size int")
 
 
 def successors(table: DataFrame, max_size: int, overlap: int) -> DataFrame:
@@ -154,9 +159,12 @@ def split_oversized(df: DataFrame, id_column: str, text_column: str, max_size: i
     """
     records = stored(oversized(df, id_column, text_column, max_size), "split-records")
     bounds = F.struct("piece_no", "piece_start", "piece_end")
-    each = piece_bounds(records, max_size, overlap).groupBy("rec").agg(F.collect_list(bounds).alias("pieces"))
-    return (
-        records.join(each, "rec")
-        .select("rec", "text", F.explode("pieces").alias("p"))
-        .select("rec", "p.*", F.expr("substring(text, p.piece_start + 1, p.piece_end - p.piece_start)").alias("piece"))
-    )
+    each = piece_bounds(records, max_size, overlap).groupBy("rec").agg(F.array_sort(F.collect_list(bounds)).alias("pieces"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(rec, p["piece_no"], p["piece_start"], p["piece_end"], text[p["piece_start"] : p["piece_end"]]) for rec, text, pieces in zip(*(column(batch, c) for c in ("rec", "text", "pieces"))) for p in pieces]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["rec", "piece_no", "piece_start", "piece_end", "piece"])
+
+    return records.join(each, "rec").select("rec", "text", "pieces").mapInArrow(rows, "rec long, piece_no int, piece_start int, piece_end int, piece string")

@@ -17,12 +17,12 @@ def misread(text, true, wrong):
 @pytest.mark.parametrize("text", TEXTS)
 @pytest.mark.parametrize("wrong", ["cp1252", "mac_roman"])
 def test_utf8_read_as_one_byte(text, wrong):
-    assert E.repaired(misread(text, "utf-8", wrong)) == (text, True)
+    assert E.repaired(misread(text, "utf-8", wrong))[:2] == (text, True)
 
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_twice_misread(text):
-    assert E.repaired(misread(misread(text, "utf-8", "cp1252"), "utf-8", "cp1252")) == (text, True)
+    assert E.repaired(misread(misread(text, "utf-8", "cp1252"), "utf-8", "cp1252"))[:2] == (text, True)
 
 
 @pytest.mark.parametrize("text", [TEXTS[1], TEXTS[3]])
@@ -32,7 +32,7 @@ def test_chinese_read_as_something_else(text, true, wrong):
         bad = text.encode(true).decode(wrong, "replace")
     except UnicodeError:
         pytest.skip("cannot be misread so")
-    good, garbled = E.repaired(bad)
+    good, garbled, _ = E.repaired(bad)
     assert garbled and (good == text or "�" in bad)
 
 
@@ -42,11 +42,11 @@ def test_chinese_read_as_something_else(text, true, wrong):
      "zeigt Â, Ã und Ä nebeneinander", "見本ﾌｫﾙﾀﾞの半角ｶﾅ", "繁體附註：臺灣堃鑫範例檔", "Пример текста № 4", "l’été « là »", "原件𠀋窗口", "👍🏽 fine"],
 )
 def test_rightly_decoded_text_stays(text):
-    assert E.repaired(text) == (text, False)
+    assert E.repaired(text)[:2] == (text, False)
 
 
 def test_part_of_a_line_and_escapes():
-    assert E.repaired("名单 caf" + misread("é", "utf-8", "cp1252") + " 公示") == ("名单 café 公示", True)
+    assert E.repaired("名单 caf" + misread("é", "utf-8", "cp1252") + " 公示")[:2] == ("名单 café 公示", True)
     assert E.repaired("plain &amp; simple")[1] is False
 
 
@@ -57,5 +57,14 @@ def test_columns(spark):
     df = spark.createDataFrame(rows, "id long, body string, record_id string")
     out = {x.record_id: (x.restored, x.complete) for x in E.repair_values(df, "id", "body").collect()}
     assert out == {1: (TEXTS[0], True), 5: (long.replace(bad, TEXTS[0]), True), 6: ("lost � here", False)}
-    assert {x.record_id for x in E.repair_values(df, "id", "body", restore=False).collect()} == {1, 5, 6}
+    assert {x.record_id for x in E.repair_values(df, "id", "body").collect()} == {1, 5, 6}
     assert E.repair_values(df.where("false"), "id", "body").count() == 0
+
+
+def test_cut_searches_are_reported(spark):
+    bad = misread("Größe und Maß für Übungen", "utf-8", "cp1252")
+    assert E.repaired(bad)[2] and not E.repaired(bad, 1)[2]
+    assert E.repaired(bad, None) == E.repaired(bad)
+    df = spark.createDataFrame([(1, bad), (2, "plain")], "id long, body string")
+    assert [x.searched for x in E.repair_values(df, "id", "body").collect()] == [True]
+    assert not any(x.searched for x in E.repair_values(df, "id", "body", max_states=1).collect())
