@@ -85,3 +85,35 @@ def test_empty_table_and_long_text(spark):
     assert found(spark, []) == set()
     rows = [(i, None, "\n".join(f"line {chr(97 + k % 26)}{k}" for k in range(30_000)), "") for i in range(5)]
     assert len(found(spark, rows)) == 150_000
+
+
+def test_store_reads_old_documents_for_crossed_lines_only(spark, tmp_path):
+    rows = [(i, "s", f"notice\nown {chr(97 + i)}", "") for i in range(4)] + [(100 + i, "t", "quiet line " + chr(97 + i), "") for i in range(30)] + [(None, "s", "notice", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    store = R.LineStore(spark, str(tmp_path))
+    first = store.merge(df)
+    assert store.found().count() == 0 and first.touched.count() == 34
+    again = R.LineStore(spark, str(tmp_path))  # another process goes on where this one ended
+    assert again.version == 1
+    both = df.unionByName(spark.createDataFrame([(10, "s", "notice\nelse", ""), (3, "s", "seen before", "")], SCHEMA))
+    delta = again.merge(both)
+    assert {x.stored_id for x in delta.touched.collect()} == {0, 1, 2, 3, 10}
+    assert [x.now_repeated for x in delta.crossed.collect()] == [True]
+    assert {x.stored_id: x.content for x in again.rebuilt(df, delta).collect()} == {i: f"own {chr(97 + i)}" for i in range(4)}
+    more = spark.createDataFrame([(1000 + i, "s", "other " + chr(97 + i % 26) * (1 + i // 26), "") for i in range(200)], SCHEMA)
+    delta = again.merge(more)  # the site's total grows until the line is no longer repeated
+    assert [x.now_repeated for x in delta.crossed.collect()] == [False]
+    assert again.found().count() == 0 and delta.touched.count() == 205
+
+
+def test_number_of_deltas_does_not_matter(spark):
+    rows = [x for x in made(5, 150)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {(x.stored_id, x.line_no) for x in R.repeated_line_occurrences(df, deltas=3).collect()} == plain(rows)
+
+
+def test_null_ids_count_nowhere(spark, monkeypatch):
+    rows = [(i if i else None, "s", "notice", "") for i in range(6)]
+    assert len(found(spark, rows)) == 5
+    monkeypatch.setattr(R, "BROADCAST_LINES", 0)
+    assert len(found(spark, rows)) == 5
