@@ -1,13 +1,15 @@
 """Intermediate tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset (tests, a laptop) a temporary folder is made
-and set once per session. Intermediate results that several jobs read again are written there as Parquet: the lineage
-ends at the files, so a lost executor costs a re-read and not a recomputation.
+``spark.checkpoint.dir`` names that folder. Only a session whose executors all run on this machine (``local[...]``: tests, a
+laptop) may do without it: a temporary folder is then made and set once per session. On a cluster its absence is an error.
+Intermediate results that several jobs read again are written there as Parquet: the lineage ends at the files, so a lost
+executor costs a re-read and not a recomputation.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,23 +19,37 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared scratch folder of this session; sets one only where none is configured."""
+    """The shared scratch folder of this session; sets one only where none is configured and all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; ``release`` removes it."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, so that later jobs start from files."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder stands at ``path``, on any file system that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores: for work that is slow per row over few large files."""
     cores = df.sparkSession.sparkContext.defaultParallelism
