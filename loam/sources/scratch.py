@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,10 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; ``release`` removes it."""
+def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new path in the shared folder; ``release`` removes it, with ``keep`` only the end of the process."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    (_kept if keep else _written).append((spark, path))
     return path
 
 
@@ -50,6 +51,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def changed_at(spark: SparkSession, path: str) -> int:
+    """When the newest file at ``path`` was changed, as a number; 0 where there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return max((s.getModificationTime() for s in where.getFileSystem(conf).listStatus(where)), default=0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores: for work that is slow per row over few large files."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -67,6 +75,7 @@ def release(spark: SparkSession) -> None:
 
 @atexit.register
 def _release_all() -> None:
+    _written.extend(_kept)
     for owner in {id(x[0]): x[0] for x in _written}.values():
         try:
             release(owner)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loam.operators.logs import FILE_MARKS, classified
 from loam.operators.store import batch_status, latest, upsert
-from loam.sources.scratch import shared_folder
+from loam.sources.scratch import scratch_path
 
 _SCHEMA = "run_id long, line_no int, line string, status string, file_name string, url string"
 
@@ -70,7 +70,7 @@ def incremental_store(spark: SparkSession, batches: DataFrame, name: str) -> Dat
     Gives the statuses that the batches met: batch, status, files. Within a batch the last row of a key holds; a batch
     that is worked off again after a failure replaces its own version.
     """
-    root = f"{shared_folder(spark)}/{name}"
+    root = scratch_path(spark, name)
 
     def version(batch: int) -> str:
         return f"{root}/index/v{batch}"

@@ -71,3 +71,30 @@ def test_answers(spark):
     asked = spark.createDataFrame([(7, "s", "apple", 3, None, None)], "request_id long, site string, query string, top_k int, threshold double, output_dir string")
     row = R.answers(R.ranked(R.scores(R.build_index(docs), asked), asked), asked, docs).first()
     assert (row.request_id, row.rank, row.start_line, row.matched_block, row.snippet) == (7, 1, 3, "an apple", "first an apple last")
+
+
+def test_stored_index_is_refreshed_by_site(spark, tmp_path):
+    schema = "site string, doc string, content string"
+    first = [("s", "s/1", "apple pear"), ("s", "s/2", "pear"), ("t", "t/1", "apple"), ("u", "u/1", "plum"), (None, "x", "apple")]
+    later = [("s", "s/1", "apple pear"), ("s", "s/2", "pear"), ("t", "t/1", "apple apple quince"), ("t", "t/2", "fig"), ("v", "v/1", "apple")]
+    kept = R.StoredIndex(spark, str(tmp_path / "index"))
+    assert kept.refresh(spark.createDataFrame(first, schema)) == 3
+    assert kept.refresh(spark.createDataFrame(first, schema)) == 0
+    assert kept.refresh(spark.createDataFrame(later, schema)) == 3  # t changed, u gone, v new
+    index, fresh = R.StoredIndex(spark, str(tmp_path / "index")).index(), R.build_index(spark.createDataFrame(later, schema))
+    for name in ("postings", "documents", "terms", "sites"):
+        a, b = getattr(index, name), getattr(fresh, name)
+        assert sorted(map(tuple, a.select(sorted(a.columns)).collect())) == sorted(map(tuple, b.select(sorted(b.columns)).collect())), name
+    assert [x.doc for x in R.search(index, "t", "quince", 5).collect()] == ["t/1"]
+    assert R.search(index, "u", "plum", 5).count() == 0
+    assert R.StoredIndex(spark, str(tmp_path / "none")).refresh(spark.createDataFrame([], schema)) == 0
+
+
+def test_search_reads_the_buckets_of_its_terms(spark, tmp_path):
+    rows = [("s", f"s/{i}", f"word{i} apple") for i in range(50)]
+    kept = R.StoredIndex(spark, str(tmp_path))
+    kept.refresh(spark.createDataFrame(rows, "site string, doc string, content string"))
+    found = R.search(kept.index(), "s", "word7", 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket), ", "").replace("PartitionFilters: [isnotnull(bucket#", "PartitionFilters: [bucket#") and "WindowGroupLimit" in plan
+    assert [x.doc for x in found.collect()] == ["s/7"]
