@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 #: Lines whose tops differ by so much at most stand in one row; a row of so many items is a table's.
 ROW_TOLERANCE, TABLE_ITEMS = 4.0, 3
 INDENT, GAP = 15.0, 25.0
+#: How numbered lines begin.
 _LISTED = re.compile(r"第[一二三四五六七八九十百千万]+[章节条]|[0-9]+[．.、]|[一二三四五六七八九十]、|（[一二三四五六七八九十]+）|\([0-9]+\)")
 
 

@@ -39,7 +39,7 @@ def front_matter_map(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
-#: Years as they stand in addresses and texts; the month and day must be ones.
+#: Years as they stand in addresses and texts; the month and day must be ones.
 YEAR_PATTERNS = (
     r"((?:19|20)\d{2})年",
     r"((?:19|20)\d{2})-(?:0[1-9]|1[0-2])(?![0-9])",
@@ -50,6 +50,12 @@ YEAR_PATTERNS = (
 )
 
 
+def front_matter(fields: dict[str, Column]) -> Column:
+    """The fields as ``key: value`` lines between ``---`` lines; null values are left out, line ends become spaces."""
+    shown = [F.when(value.isNotNull(), F.concat(F.lit(f"{key}: "), F.regexp_replace(value.cast("string"), r"[\r\n]+", " "))) for key, value in fields.items()]
+    return F.concat(F.lit("---\n"), F.array_join(F.array(*shown), "\n"), F.lit("\n---\n\n"))
+
+
 def max_year(text: Column) -> Column:
     """The latest year in ``text``, 1900 to 2099; 0 where there is none, null for null."""
     years = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in YEAR_PATTERNS]))

@@ -43,14 +43,23 @@ def path_of(url: Column) -> Column:
 
 
 def normalize_url(url: Column) -> Column:
-    """Scheme, host and path without closing slashes, and the query as it is; no fragment, no parameters."""
-    path = F.regexp_replace(path_of(url), "/+$", "")
+    """Scheme, host and path without closing slashes and dot segments, and the query as it is; no fragment, no parameters."""
+    path = F.regexp_replace(without_dots(path_of(url)), "/+$", "")
     query = part(url, 4)
     return F.concat(
         F.lower(part(url, 1)), F.lit("://"), part(url, 2), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
     )
 
 
+def without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments are followed; ``..`` at the root stays there."""
+    step = lambda done, seg: F.when(seg == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(seg == ".", done).otherwise(F.concat(done, F.array(seg)))
+    segments = F.slice(F.split(path, "/", -1), 2, F.size(F.split(path, "/", -1)))
+    followed = F.aggregate(segments, F.array().cast("array<string>"), step)
+    open_end = path.rlike(r"/\.{1,2}$")
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(followed, "/"), F.when(open_end & (F.size(followed) > 0), "/").otherwise(""))).otherwise(path)
+
+
 def with_scheme(url: Column) -> Column:
     """``https://`` before what names no scheme."""
     return F.when(url.rlike("^(https?|file)://"), url).otherwise(F.concat(F.lit("https://"), url))

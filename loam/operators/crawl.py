@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.urls import followable, normalize_url, part, should_process
@@ -14,23 +14,32 @@ PAGE_CAP = 10_000
 MARKDOWN_LINK = r"\[[^\]]*\]\(([^)\s]+)\)"
 
 
-def markdown_links(pages: DataFrame) -> DataFrame:
-    """Links of pages (url, content): src, dst, both normalised, once each, on the page's own host.
-
-    Addresses relative to the host's root or to the page's folder are made absolute.
-    """
-    base, href = F.col("url"), F.col("href")
+def absolute(base: Column, href: Column) -> Column:
+    """An address as a page at ``base`` means it: relative to the host's root or to the page's folder."""
     root = F.concat(F.lower(part(base, 1)), F.lit("://"), part(base, 2))
     folder = F.regexp_replace(part(base, 3), "[^/]*$", "")
-    absolute = (
+    return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href)
         .when(href.startswith("//"), F.concat(F.lower(part(base, 1)), F.lit(":"), href))
         .when(href.startswith("/"), F.concat(root, href))
         .when(href.startswith("?"), F.concat(root, part(base, 3), href))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
     )
-    found = pages.where("url is not null and content is not null").select("url", F.explode(F.regexp_extract_all("content", F.lit(MARKDOWN_LINK), F.lit(1))).alias("href"))
-    linked = found.where(followable(href)).select(normalize_url(base).alias("src"), normalize_url(absolute).alias("dst"))
+
+
+def links_of(content: Column, url: Column) -> Column:
+    """The targets of a Markdown text's links as absolute addresses, in order."""
+    hrefs = F.filter(F.regexp_extract_all(content, F.lit(MARKDOWN_LINK), F.lit(1)), followable)
+    return F.transform(hrefs, lambda href: absolute(url, href))
+
+
+def markdown_links(pages: DataFrame) -> DataFrame:
+    """Links of pages (url, content): src, dst, both normalised, once each, on the page's own host.
+
+    Addresses relative to the host's root or to the page's folder are made absolute; ``.`` and ``..`` are followed.
+    """
+    found = pages.where("url is not null and content is not null").select("url", F.explode(links_of(F.col("content"), F.col("url"))).alias("to"))
+    linked = found.select(normalize_url(F.col("url")).alias("src"), normalize_url(F.col("to")).alias("dst"))
     return linked.where(part(F.col("src"), 2) == part(F.col("dst"), 2)).distinct()
 
 

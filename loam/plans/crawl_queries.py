@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions.urls import normalize_url
 from loam.operators import crawl as C
 from loam.operators import logs as L
+from loam.operators import pipeline as P
 from loam.operators.snapshots import hex_value, moment
 from loam.plans.store_queries import _S as _ENTRIES
-from loam.sources.scratch import shared_folder, stored
+from loam.sources.scratch import scratch_path, stored
 from loam.sources.tables import read_table
 from loam.streaming import log_stream as S
 
@@ -60,6 +59,29 @@ def link_depth_stats(spark: SparkSession, folder: str) -> DataFrame:
     return C.depth_statistics(_link_frontier(spark, folder))
 
 
+def crawl_store(spark: SparkSession, folder: str) -> DataFrame:
+    """A crawl that starts from every stored page, follows their links and compares what it keeps with the first snapshot's
+    index: per depth and kind, addresses asked and kept, and documents by status.
+
+    The stored pages stand for the net: an address that is none of them gives an error.
+    """
+    table = read_table(spark, folder, "page_text").where("url is not null and content is not null")
+    row = F.struct("page_id", "content")
+    net = table.select(normalize_url(F.col("url")).alias("url"), "page_id", "content").groupBy("url").agg(F.min(row)["content"].alias("text"))
+    net = stored(net, "crawl-net")
+
+    def source(level: DataFrame) -> DataFrame:
+        found = level.select("url").join(net, "url", "left")
+        lost = F.col("text").isNull()
+        return found.select(
+            "url", F.when(lost, 404).otherwise(200).alias("status"), F.lit("text/plain").alias("content_type"), F.lit(None).cast("binary").alias("body"), "text", F.when(lost, "HTTP 404").alias("error")
+        )
+
+    index = spark.createDataFrame([], P.INDEX)
+    done = P.crawl(source, table.select("url"), index, [".md", ".html"], max_depth=3, min_year=2020, cap=None)
+    return done.pages.groupBy("depth", "kind").agg(F.count(F.lit(1)).alias("asked"), F.count_if("kept").alias("kept"))
+
+
 def crawl_log_parse(spark: SparkSession, folder: str) -> DataFrame:
     lines = L.run_log(read_table(spark, folder, "crawl_result").dropDuplicates(["run_id"]))
     return L.parsed(lines).select("run_id", "line_no", "status", "file_name", "url")
@@ -83,15 +105,14 @@ def progress_eta(spark: SparkSession, folder: str) -> DataFrame:
 def stream_log_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The run logs read as a stream with state; lines by status, and how many of them have an address."""
     reports = S.file_stream(spark, folder, "crawl_result.parquet")
-    name = f"log-stream-{uuid.uuid4().hex}"
-    lines = S.appended(S.parsed_stream(L.run_log(reports)), shared_folder(spark), name).distinct()
+    lines = S.appended(S.parsed_stream(L.run_log(reports)), scratch_path(spark, "log-stream"), "lines").distinct()
     return lines.groupBy("status").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("url") != "").alias("with_url"))
 
 
 def stream_store(spark: SparkSession, folder: str) -> DataFrame:
     """The first snapshot's rows merged into an empty store as a stream: files by status."""
     rows = S.file_stream(spark, folder, "index_entry.parquet").where("snapshot_no = 1 and file_key is not null").select("site", "file_key", "md5", "entry_id")
-    statuses = S.incremental_store(spark, rows, f"store-stream-{uuid.uuid4().hex}")
+    statuses = S.incremental_store(spark, rows, scratch_path(spark, "store-stream"))
     return statuses.where("status = 'new'").groupBy("status").agg(F.sum("files").alias("files"))
 
 
@@ -101,8 +122,7 @@ def stream_store_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     The files of a snapshot are put into the stream's folder and worked off before the next ones come, so that a batch
     holds a whole snapshot in any number of files, and state goes on from the checkpoint.
     """
-    name = f"store-stream-{uuid.uuid4().hex}"
-    source = f"{shared_folder(spark)}/{name}-in"
+    root, source = scratch_path(spark, "store-stream"), scratch_path(spark, "store-stream-in")
     rows = read_table(spark, folder, "index_entry").where("snapshot_no is not null and site is not null and file_key is not null")
     numbers = [x[0] for x in rows.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]  # one row a snapshot
     last = F.struct(moment(F.col("fetch_date")).alias("fetched_at"), "entry_id")  # as in the queries of the store
@@ -111,7 +131,7 @@ def stream_store_snapshots(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], "batch long, status string, files long")
     for number in numbers:
         entries.where(F.col("snapshot_no") == number).write.mode("append").parquet(source)
-        statuses = S.incremental_store(spark, spark.readStream.schema(entries.schema).parquet(source), name)
+        statuses = S.incremental_store(spark, spark.readStream.schema(entries.schema).parquet(source), root)
     return statuses
 
 
@@ -122,7 +142,7 @@ l AS (SELECT run_id, unnest(list_concat(flatten(list_transform(fs, lambda f, i:
   CASE WHEN success THEN [] ELSE [['error', '', ''], ['skip', '', 'https://old.example/2019']] END)) AS x FROM f)
 """
 QUERIES = {
-    f.__name__: f for f in (frontier_bfs, depth_stats, page_links, link_frontier, link_depth_stats, crawl_log_parse, pre_crawl_log_parse, progress_eta, stream_log_counts, stream_store, stream_store_snapshots)
+    f.__name__: f for f in (frontier_bfs, depth_stats, page_links, link_frontier, link_depth_stats, crawl_store, crawl_log_parse, pre_crawl_log_parse, progress_eta, stream_log_counts, stream_store, stream_store_snapshots)
 }
 _BFS = f"""
 WITH RECURSIVE p AS (SELECT DISTINCT page_id AS k FROM page_text), n AS (SELECT max(k) AS n FROM p),
@@ -162,6 +182,18 @@ r AS (SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY url)
 """
 SQL["link_frontier"] = _LINK_BFS + "SELECT url, depth FROM r"
 SQL["link_depth_stats"] = _LINK_BFS + "SELECT depth, urls, CAST(sum(urls) OVER (ORDER BY depth) AS BIGINT) AS cumulative FROM (SELECT depth, count(*) AS urls FROM r GROUP BY depth)"
+_TEXT_YEAR = "list_max(flatten([" + ", ".join(f"list_transform(regexp_extract_all(text, '{p}', 1), lambda y: CAST(y AS INTEGER))" for p in (
+    "((?:19|20)[0-9]{2})年", "((?:19|20)[0-9]{2})-(?:0[1-9]|1[0-2])(?:[^0-9]|$)", "((?:19|20)[0-9]{2})/(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:[^0-9]|$)",
+    "((?:19|20)[0-9]{2})/(?:0[1-9]|1[0-2])(?:[^0-9]|$)", "((?:19|20)[0-9]{2})_(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:[^0-9]|$)", "((?:19|20)[0-9]{2})_(?:0[1-9]|1[0-2])(?:[^0-9]|$)")) + "]))"
+SQL["crawl_store"] = f"""
+WITH RECURSIVE net AS (SELECT {_NORMAL} AS url, arg_min(content, page_id) AS text FROM page_text WHERE url IS NOT NULL AND content IS NOT NULL GROUP BY 1),
+l AS ({SQL["page_links"]}), e AS (SELECT DISTINCT src, dst FROM l),
+b AS (SELECT url, 0 AS depth FROM net WHERE {_TEXT_YEAR.replace("(text,", "(url,")} IS NULL OR {_TEXT_YEAR.replace("(text,", "(url,")} >= 2020
+  UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 3 AND b.url IN (SELECT url FROM net) AND ({_TEXT_YEAR.replace("(text,", "(e.dst,")} IS NULL OR {_TEXT_YEAR.replace("(text,", "(e.dst,")} >= 2020)),
+r AS (SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY url)
+SELECT depth, CASE WHEN text IS NULL THEN 'error' ELSE kind END AS kind, count(*) AS asked, count(*) FILTER (text IS NOT NULL AND kind = 'text' AND coalesce({_TEXT_YEAR}, 2020) >= 2020) AS kept
+FROM (SELECT depth, text, CASE WHEN regexp_matches(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '[.](pdf|doc|docx|xls|xlsx|ppt|pptx)$') THEN 'binary' ELSE 'text' END AS kind FROM r LEFT JOIN net USING (url)) GROUP BY 1, 2
+"""
 SQL["stream_store_snapshots"] = _ENTRIES + """,
 k AS (SELECT * FROM s WHERE snapshot_no IS NOT NULL AND site IS NOT NULL AND file_key IS NOT NULL),
 n AS (SELECT snapshot_no, dense_rank() OVER (ORDER BY snapshot_no) - 1 AS batch FROM (SELECT DISTINCT snapshot_no FROM k)),

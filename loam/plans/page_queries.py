@@ -27,7 +27,7 @@ def _line(line: Column) -> Column:
         F.when(shown == "", "")
         .when(shown.rlike(r"^\|[-| ]*\|$"), "")
         .when(shown.rlike(r"^\|.*\|$"), F.concat(F.lit("<table><tr>"), F.array_join(cells, ""), F.lit("</tr></table>")))
-        .when(shown.rlike(r"^[-*] "), F.concat(F.lit("<li>"), F.substring(shown, 3, 100_000), F.lit("</li>")))
+        .when(shown.rlike(r"^[-*] "), F.concat(F.lit("<li>"), F.call_function("substring", shown, F.lit(3), F.length(shown)), F.lit("</li>")))
         .when(shown.rlike(r"^#+ "), F.concat(F.lit("<h3>"), F.regexp_replace(shown, "^#+ ", ""), F.lit("</h3>")))
         .otherwise(F.concat(F.lit("<p>"), shown, F.lit("<p>")))
     )

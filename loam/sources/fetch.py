@@ -11,6 +11,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,17 +76,19 @@ def fetched(frontier: DataFrame, delay: float = 1.0, fetch: Fetcher = over_http)
     """The pages of a frontier (url): url, status, content_type, body, text, error.
 
     Null addresses are left out; every other row comes out once, with an error where it could not be had. ``delay``
-    seconds pass between two addresses of a task, so that a host is asked by one task at that pace at most.
+    seconds pass between two addresses of one host, which one task asks after another; other hosts of the task do not wait
+    for it.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = False
+        asked: dict[str, float] = {}
         for batch in batches:
             out = []
             for url in batch["url"]:
-                if asked:
-                    time.sleep(delay)
-                asked = True
+                host = urlsplit(url).netloc
+                if host in asked:
+                    time.sleep(max(0.0, asked[host] + delay - time.monotonic()))
+                asked[host] = time.monotonic()
                 status, kind, body, error = fetched_once(url, fetch, time.sleep)
                 out.append((url, status, kind, body, decoded(body, kind) if body is not None else None, error))
             frame = pd.DataFrame(out, columns=["url", "status", "content_type", "body", "text", "error"])

@@ -11,7 +11,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loam.operators.logs import FILE_MARKS, classified
 from loam.operators.store import batch_status, latest, upsert
-from loam.sources.scratch import scratch_path
 
 _SCHEMA = "run_id long, line_no int, line string, status string, file_name string, url string"
 
@@ -64,14 +63,12 @@ def appended(stream: DataFrame, folder: str, name: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def incremental_store(spark: SparkSession, batches: DataFrame, name: str) -> DataFrame:
-    """A stream of file rows (site, file_key, md5, entry_id) merged into an index, batch after batch.
+def incremental_store(spark: SparkSession, batches: DataFrame, root: str) -> DataFrame:
+    """A stream of file rows (site, file_key, md5, entry_id) merged into an index below ``root``, batch after batch.
 
     Gives the statuses that the batches met: batch, status, files. Within a batch the last row of a key holds; a batch
     that is worked off again after a failure replaces its own version.
     """
-    root = scratch_path(spark, name)
-
     def version(batch: int) -> str:
         return f"{root}/index/v{batch}"
 

@@ -121,8 +121,11 @@ def test_spans_fill_the_grid():
     assert H.table_grid(table) == [["a", "", "b"], ["c", "d", ""]]
 
 
-def test_body_only():
-    assert H.body_only("menu\n当前位置：首页\n>\n栏目\n这是一段正文，足够长。\n\n\n\n关于我们\nx") == "当前位置：首页 > 栏目\n这是一段正文，足够长。"
+def test_body_only(spark):
+    texts = ["menu\n当前位置：首页\n>\n栏目\n这是一段正文，足够长。\n\n\n\n关于我们\nx", "关于我们\nno trail\n\n版权所有 x", "当前位置:a\n\nb", "", None, "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [x[0] for x in df.orderBy("i").select(H.body_only(F.col("t"))).collect()]
+    assert got == ["当前位置：首页 > 栏目\n这是一段正文，足够长。", "关于我们\nno trail", "当前位置:a b", "", None, "plain"]
 
 
 def test_layout():
