@@ -2,7 +2,8 @@
 
 The rows of a snapshot are hashed into leaves (hash ranges of the key), the leaves of a site form a tree with sixteen
 children a node. Two consecutive snapshots are compared from the root down: only children of differing nodes are looked
-at on the next level, and only rows in differing leaves are shuffled and compared one by one.
+at on the next level, and only rows in differing leaves are compared one by one. All rows of the snapshots are read for the
+digests; those of equal leaves go no further than the join with the differing leaves.
 """
 
 from __future__ import annotations
@@ -62,21 +63,27 @@ def consecutive(state: DataFrame) -> DataFrame:
     )
 
 
+def placed_rows(state: DataFrame, levels: DataFrame) -> DataFrame:
+    """The rows of ``state`` with the levels of their site's tree and their leaf in it."""
+    placed = state.join(levels.select("site", "snapshot_no", "levels"), ["site", "snapshot_no"])
+    return placed.withColumn("leaf", leaf_of(F.col("file_key"), F.col("levels")))
+
+
 def leaf_digests(state: DataFrame, levels: DataFrame) -> DataFrame:
-    """Digest of each leaf: row count, and xor and sum of the rows' hashes.
+    """Digest of each leaf: row count, and xor and sum of the rows' hashes, as ``digests_of`` the placed rows."""
+    return digests_of(placed_rows(state, levels))
+
+
+def digests_of(placed: DataFrame) -> DataFrame:
+    """Digest of each leaf of placed rows.
 
     Output: site, snapshot_no, levels, leaf, rows, x, s. An unknown md5 has a hash of its own.
     """
     row = F.xxhash64("file_key", F.coalesce("md5", F.lit("?")))
-    placed = state.join(levels.select("site", "snapshot_no", "levels"), ["site", "snapshot_no"])
-    return (
-        placed.withColumn("leaf", leaf_of(F.col("file_key"), F.col("levels")))
-        .groupBy("site", "snapshot_no", "levels", "leaf")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.bit_xor(row).alias("x"),
-            F.sum(row.cast("decimal(20,0)")).alias("s"),
-        )
+    return placed.groupBy("site", "snapshot_no", "levels", "leaf").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bit_xor(row).alias("x"),
+        F.sum(row.cast("decimal(20,0)")).alias("s"),
     )
 
 
@@ -137,18 +144,15 @@ def snapshot_changes(entries: DataFrame) -> DataFrame:
     """
     state = stored(snapshot_state(entries), "snapshot-state")
     pairs = stored(consecutive(state), "snapshot-pairs")
-    digests = stored(leaf_digests(state, pairs), "snapshot-leaves")
+    placed = stored(placed_rows(state, pairs), "snapshot-leaves")
+    digests = stored(digests_of(placed), "snapshot-digests")
     leaves = stored(differing_leaves(digests, pairs), "snapshot-differing")
-    placed = state.join(pairs.select("site", "snapshot_no", "levels"), ["site", "snapshot_no"]).select(
-        "site", "snapshot_no", "file_key", "md5", leaf_of(F.col("file_key"), F.col("levels")).alias("leaf")
-    )
-    later = placed.join(leaves, ["site", "snapshot_no", "leaf"]).select(
-        "site", "snapshot_no", "file_key", F.struct("md5").alias("now"), F.lit(None).cast("struct<md5:string>").alias("then")
-    )
-    earlier = placed.withColumnRenamed("snapshot_no", "prev_no").join(leaves, ["site", "prev_no", "leaf"]).select(
-        "site", "snapshot_no", "file_key", F.lit(None).cast("struct<md5:string>").alias("now"), F.struct("md5").alias("then")
-    )
-    both = later.unionByName(earlier).groupBy("site", "snapshot_no", "file_key").agg(F.max("now").alias("now"), F.max("then").alias("then"))
+    # each differing leaf is wanted from two snapshots: of the later one what is, of the earlier one what was
+    wanted = leaves.select("site", "leaf", F.col("snapshot_no").alias("pair"), F.explode(F.array(F.struct(F.col("snapshot_no").alias("no"), F.lit(True).alias("later")), F.struct(F.col("prev_no").alias("no"), F.lit(False).alias("later")))).alias("w"))
+    wanted = wanted.select("site", "leaf", "pair", F.col("w.no").alias("snapshot_no"), "w.later")
+    rows = placed.join(wanted, ["site", "snapshot_no", "leaf"])
+    md5 = F.struct("md5")
+    both = rows.groupBy("site", F.col("pair").alias("snapshot_no"), "file_key").agg(F.max(F.when(F.col("later"), md5)).alias("now"), F.max(F.when(~F.col("later"), md5)).alias("then"))
     kind = (
         F.when(F.col("then").isNull(), "added")
         .when(F.col("now").isNull(), "removed")
