@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from loam.functions.urls import PATH_PRIORITY
 
+#: Files of a site in a version of the index, at most.
+WRITERS = 8
 #: How statuses are ordered in listings; others come last.
 STATUS_ORDER = ("new", "updated", "unchanged", "error")
 
@@ -102,7 +104,8 @@ def crawl_summary(reports: DataFrame) -> DataFrame:
 def write_index(index: DataFrame, folder: str, version: int) -> str:
     """Write a version of the index, partitioned by site, and give its path; readers of older versions are not disturbed."""
     path = f"{folder}/version={version:08d}"
-    index.repartition("site").write.mode("errorifexists").partitionBy("site").parquet(path)
+    # a site of very many files is written by several tasks
+    index.repartition("site", F.pmod(F.xxhash64("file_key"), F.lit(WRITERS))).write.mode("errorifexists").partitionBy("site").parquet(path)
     return path
 
 

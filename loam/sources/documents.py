@@ -24,11 +24,19 @@ SITE_INDEX = T.StructType(
 
 
 def local_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ()) -> DataFrame:
-    """The files below a folder with one of the extensions (else any known one): path, extension, content, by path."""
+    """The files below a folder with one of the extensions (else any known one): path, extension, content, in no order.
+
+    Files without any content are no rows.
+    """
     wanted = [e.lower() for e in extensions or (*KNOWN, ".html", ".htm")]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    return files.select("path", extension.alias("extension"), "content").where(F.col("extension").isin(wanted)).orderBy("path")
+    return files.select("path", extension.alias("extension"), "content").where(F.col("extension").isin(wanted))
+
+
+def local_paths(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """The paths of ``local_files`` in order: path, extension. No content is read for it."""
+    return local_files(spark, folder, extensions).select("path", "extension").orderBy("path")
 
 
 def site_indexes(spark: SparkSession, root: str) -> DataFrame:
@@ -53,7 +61,7 @@ def site_metadata(spark: SparkSession, root: str) -> DataFrame:
 def export_site_indexes(index: DataFrame, root: str) -> None:
     """One JSON object a site as text files below ``root``, as ``site_indexes`` describes them."""
     name = F.regexp_replace("file_key", "^[^/]*/", "")
-    meta = F.struct(*[F.col(c).cast(T.StringType()) if c != "file_size" else F.col(c) for c in FILE_META.names])
+    meta = F.struct(*[(F.col(c).cast(T.StringType()) if c != "file_size" else F.col(c)).alias(c) for c in FILE_META.names])
     each = index.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct(name, meta))).alias("file_tree"), F.count(F.lit(1)).alias("total_files"))
     each.select("site", F.to_json(F.struct("total_files", "file_tree")).alias("value")).write.partitionBy("site").text(root)
 
