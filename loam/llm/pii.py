@@ -12,56 +12,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.pii_model import FREQUENT, PRIOR, SpanModel, fitted, shares
-from loam.llm.pii_spans import FEATURES, TYPES, Span, capitalised, features, spans
+from loam.llm.pii_spans import TYPES, Span, capitalised, described
 from loam.llm.textbytes import chunks, code_points, column
 from loam.sources.scratch import spread
 
 #: What a text shows in place of personal data.
 PLACEHOLDER = "[{}]"
-#: Spans scored at a time.
-BATCH = 20_000
 
 
-def _selected(proposed: list[Span], scores: np.ndarray, cut: tuple[float, ...]) -> list[Span]:
-    """Spans over their type's threshold, the likeliest first, of overlapping ones one; in the order of the text."""
+def _selected(proposed: list[Span], scores: np.ndarray) -> list[Span]:
+    """Of overlapping spans one, the likeliest first; in the order of the text."""
     starts: list[int] = []
     out: list[Span] = []
     for k in np.argsort(-scores, kind="stable"):
         s = proposed[k]
-        if scores[k] >= cut[s.kind]:
-            at = bisect_left(starts, s.start)  # the chosen do not overlap, so only the neighbours can
-            if (at == len(out) or s.end <= out[at].start) and (not at or out[at - 1].end <= s.start):
-                starts.insert(at, s.start)
-                out.insert(at, s)
+        at = bisect_left(starts, s.start)  # the chosen do not overlap, so only the neighbours can
+        if (at == len(out) or s.end <= out[at].start) and (not at or out[at - 1].end <= s.start):
+            starts.insert(at, s.start)
+            out.insert(at, s)
     return out
 
 
 def found_spans(texts: list[str | None], model: SpanModel, frequent: Mapping[str, float] | None = None) -> Iterator[tuple[int, list[Span]]]:
     """(index, personal data) of each text that holds any. ``frequent``: of the texts' corpus, as ``frequent_parts`` has it."""
-    frequent = frequent or {}
-    waiting: list[tuple[int, list[Span]]] = []
-    rows: list[list[float]] = []
-
-    def flush() -> Iterator[tuple[int, list[Span]]]:
-        scores = model.score(np.array(rows).reshape(-1, FEATURES), np.array([s.kind for _, proposed in waiting for s in proposed]))
-        at = 0
-        for i, proposed in waiting:
-            chosen = _selected(proposed, scores[at : at + len(proposed)], model.cut)
-            at += len(proposed)
-            if chosen:
-                yield i, chosen
-        waiting.clear()
-        rows.clear()
-
-    for i, text in enumerate(texts):
-        proposed = spans(text) if text else []
-        if proposed:
-            waiting.append((i, proposed))
-            rows.extend(features(text, s, frequent) for s in proposed)
-            if len(rows) >= BATCH:
-                yield from flush()
-    if waiting:
-        yield from flush()
+    cut = np.array(model.cut)
+    for first, run in chunks(texts):
+        doc, proposed, x = described(run, frequent or {})
+        scores = model.score(x, proposed[:, 0])
+        over = np.flatnonzero(scores >= cut[proposed[:, 0]])
+        doc, proposed, scores = doc[over], proposed[over], scores[over]
+        ends = np.flatnonzero(np.diff(doc, append=-1)) + 1
+        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            yield first + int(doc[start]), _selected([Span(*s) for s in proposed[start:end].tolist()], scores[start:end])
 
 
 def frequent_parts(docs: DataFrame) -> dict[str, float]:
@@ -81,7 +63,10 @@ def frequent_parts(docs: DataFrame) -> dict[str, float]:
                 doc = np.searchsorted(offsets, at, side="right") - 1
                 same = at + 1 < offsets[doc + 1]
                 pair = (chars[at[same]].astype(np.int64) - _FIRST) * _HAN + chars[at[same] + 1] - _FIRST
-                pairs, n = np.unique(np.unique(doc[same] * _HAN * _HAN + pair) % (_HAN * _HAN), return_counts=True)
+                own = np.sort(doc[same] * _HAN * _HAN + pair)  # np.unique makes a table of them instead, which takes longer
+                new = np.ones(len(own), dtype=bool)
+                new[1:] = own[1:] != own[:-1]
+                pairs, n = np.unique(own[new] % (_HAN * _HAN), return_counts=True)
                 words = Counter(word for text in run for word in capitalised(text))
                 parts = [chr(_FIRST + x // _HAN) + chr(_FIRST + x % _HAN) for x in pairs.tolist()] + list(words)
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(n.tolist() + list(words.values()), pa.int64())], names=["part", "n"])

@@ -7,11 +7,14 @@ it. Which spans are personal data is decided elsewhere.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
-from functools import cache
+from collections.abc import Iterable, Iterator, Mapping
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
+
+from loam.llm.textbytes import code_points
 
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = range(5)
@@ -89,20 +92,18 @@ _DE_STREET = re.compile(rf"(?:(?:Am|An der|Im|In der|Zum|Zur|Auf dem|Alte[rn]?|N
 _FR_STREET = re.compile(rf"[0-9]{{1,4}}(?: ?(?:bis|ter|quater|[A-D])\b)?,? {STREET_FR} (?:(?:de la|de l['’]|des|du|de|d['’]|la|le|les) ?)?(?:{_WORD}|[{_LOW}]+)(?:[ -](?:de|du|des|la|le|les|{_WORD}))*(?:,? (?:F-)?[0-9]{{5}} {_WORD}(?:[ -](?:{_WORD}|sur|sous|en|la|le|les|de))*)?")
 _TOKEN = rf"(?:(?:O['’]|Mc|[dl]['’])?[{_UP}][{_LOW}'’]+(?:-[{_UP}][{_LOW}]+)*|[{_UP}]{{2,}}(?:[-'’][{_UP}]{{2,}})*|[{_UP}]\.)"
 _PARTICLE = r"(?:von der|von|van|de la|de|du|der|le|la)"
-#: A run of capitalised words, with particles and a comma between two of them.
-_RUN = re.compile(rf"(?<![\w@.-])(?:{_TOKEN})(?:,? (?:{_PARTICLE} )?{_TOKEN})+(?![\w@])")
+_WORD_REST = rf"[{_LOW}'’]+(?:-[{_UP}][{_LOW}]+)*"
+#: A run of capitalised words, with particles and a comma between two of them. Its first word is _TOKEN again, but for what begins
+#: the pattern: a set of signs, for which a text is searched faster than for what does not stand before it.
+_RUN = re.compile(
+    rf"[{_UP}dl](?<![\w@.-].)(?:(?:(?<=[Odl])['’]|(?<=M)c)[{_UP}]{_WORD_REST}|(?<![dl])(?:{_WORD_REST}|[{_UP}]+(?:[-'’][{_UP}]{{2,}})*|\.))"
+    rf"(?:,? (?:{_PARTICLE} )?{_TOKEN})+(?![\w@])"
+)
 _TOKENS = re.compile(rf"({_PARTICLE} )?({_TOKEN})(,)?")
 _GIVEN = r"[^\W\d_A-Za-zÀ-ÿ]"
 _FUNCTION = "的了是在和与及或不也都就而但被把从到对向以于这那有我你他她它们个其之此所"
-_FAMILY = "".join(sorted(SURNAMES))
-#: A family name and one or two more signs, where a word may begin before it and end after it.
-_HAN_INSIDE = re.compile(rf"(?:(?<=[{BEFORE_HAN}])|(?<!{_HAN}))(?=[{_FAMILY}](?P<given>(?!{'['}{_FUNCTION}{']'}){_HAN}(?![{_FUNCTION}]){_HAN}?))")
-_HAN_STOP = re.compile(rf"[{AFTER_HAN}]|[^一-鿿]|$")
-#: Two to four signs that stand by themselves, or two parts of a name with a sign between them.
-_HAN_ALONE = re.compile(rf"(?<!{_HAN})(?<![　·•]){_HAN}{{2,3}}(?!{_HAN})(?![　·•]{_HAN})|(?=({_HAN}[　·•]{_HAN}{{1,2}}))")
 _HONORIFIC = re.compile("先生|女士|老师|同志|教授|小姐|博士|主任|经理|医生|律师|师傅")
 _NUMBER_CORE = re.compile(r"[0-9０-９][0-9０-９ \-./()（）－·]{5,}[0-9０-９]")
-_TWO_DIGITS = re.compile("[0-9]{2,}")
 _ZH_ANCHOR = re.compile(r"(?:路|街|巷|里|大道|道|弄|胡同)\s?[0-9０-９]")
 _DIGIT = re.compile("[0-9]")
 _FR_NUMBER = re.compile(r"[0-9](?: ?(?:bis|ter|quater|[A-D]))?,?$")
@@ -128,6 +129,55 @@ def _anchors() -> ahocorasick.Automaton:
 
 def spans(text: str) -> list[Span]:
     """All proposed spans of ``text``; they overlap, and most are no personal data."""
+    joined = _Joined([text])
+    _, start, end = _han_names(joined)
+    return sorted(_other_spans(joined)[0] | {Span(NAME, *x) for x in zip(start.tolist(), end.tolist())})
+
+
+def described(texts: list[str], frequent: Mapping[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all proposed spans of ``texts``, by text and in the order of ``spans``: the text's index, the spans as rows of kind,
+    start and end, and their features as rows."""
+    joined = _Joined(texts)
+    other = _other_spans(joined)
+    found = [(i, *s) for i, own in enumerate(other) for s in own]
+    rows = [features(text, s, frequent) for text, own in zip(texts, other) for s in own]
+    doc, start, end = _han_names(joined)
+    at = joined.offsets[doc]
+    table = np.concatenate([np.array(found, dtype=np.int64).reshape(-1, 4), np.stack([doc, np.full(len(doc), NAME), start, end], axis=1)])
+    x = np.concatenate([np.array(rows, dtype=float).reshape(-1, FEATURES), _han_features(joined, at + start, at + end, _pair_shares(frequent))])
+    order = np.lexsort(table.T[::-1])
+    return table[order, 0], table[order, 1:], x[order]
+
+
+def _other_spans(joined: _Joined) -> list[set[Span]]:
+    """All proposed spans of each text but Han names."""
+    found = [_spans_of(text) for text in joined.texts]
+    for i, at, end in _coded(joined):
+        text = joined.texts[i]
+        for m in _CODE.finditer(text, max(0, at - CODE_CHARS), end + CODE_CHARS):
+            found[i].add(Span(ID_NUMBER, *m.span()))
+    return found
+
+
+def _coded(joined: _Joined) -> Iterator[tuple[int, int, int]]:
+    """(text, start, end) of runs of two digits and more with a capital next to them, at most a space between, or another mark of a code."""
+    cls, chars = joined.classes, joined.chars
+    digit = (chars >= ord("0")) & (chars <= ord("9"))
+    edge = np.flatnonzero(digit[1:] != digit[:-1]) + 1
+    edge = np.concatenate([[0], edge]) if digit[0] else edge
+    at, end = edge[::2], edge[1::2]
+    at, end = at[end - at > 1], end[end - at > 1]
+    doc = np.searchsorted(joined.offsets, at, side="right") - 1
+    first, past = joined.offsets[doc], joined.offsets[doc + 1] - 1
+    bit = lambda k, flag: (cls[k] & flag) != 0
+    before = (at > first) & bit(at - 1, _C_UPPER) | (at - 1 > first) & bit(at - 1, _C_SPACE) & bit(at - 2, _C_UPPER)
+    after = (end < past) & bit(end, _C_UPPER) | (end + 1 < past) & bit(end, _C_SPACE) & bit(end + 1, _C_UPPER)
+    marked = before | after | (chars[end] == ord("x")) | (end - at == 6) & (chars[end] == ord(" "))
+    return zip(doc[marked].tolist(), (at - first)[marked].tolist(), (end - first)[marked].tolist())
+
+
+def _spans_of(text: str) -> set[Span]:
+    """The spans of one text that patterns find in it."""
     out: set[Span] = set()
     for end, (use, n) in _anchors().iter(text):
         end += 1
@@ -142,22 +192,14 @@ def spans(text: str) -> list[Span]:
             _add_street(_FR_STREET, text, end - n, end, out)
     for run in _RUN.finditer(text):
         _add_latin_names(text, run.start(), run.end(), out)
-    if not text.isascii():
-        _add_han_names(text, out)
     for core in _NUMBER_CORE.finditer(text):
         _add_numbers(text, core.start(), core.end(), out)
-    for digits in _TWO_DIGITS.finditer(text):
-        at, end = digits.span()
-        before, after = text[max(0, at - 2) : at], text[end : end + 2]
-        if before.strip()[-1:].isupper() or after.strip()[:1].isupper() or after[:1] == "x" or end - at == 6 and after[:1] == " ":
-            for m in _CODE.finditer(text, max(0, at - CODE_CHARS), end + CODE_CHARS):
-                out.add(Span(ID_NUMBER, *m.span()))
     if "０" in text or "９" in text:
         for m in _WIDE_CODE.finditer(text):
             out.add(Span(ID_NUMBER, *m.span()))
     for anchor in _ZH_ANCHOR.finditer(text):
         _add_han_address(text, anchor.start(), out)
-    return sorted(out)
+    return out
 
 
 #: No code that _CODE can match is longer, and no Chinese address reaches further before its street's number or after it.
@@ -178,8 +220,9 @@ def _add_latin_names(text: str, start: int, end: int, out: set[Span]) -> None:
     words: list[tuple[int, int, bool]] = []  # start, end, comma after it
     for m in [*_TOKENS.finditer(text, start, end), None]:
         word = m and m[2]
-        organisation = word and _ORG_WORD.fullmatch(word)
-        if m and not organisation and word not in STARTERS and word.capitalize() not in STARTERS and (not _TITLE_WORD.fullmatch(word) or words or word == "M."):
+        kind = word and _kind_of_word(word)
+        organisation = kind == "organisation"
+        if m and (not kind or kind == "title" and words):
             words.append((m.start(), m.end(2), bool(m[3])))
             continue
         if not organisation:
@@ -189,6 +232,16 @@ def _add_latin_names(text: str, start: int, end: int, out: set[Span]) -> None:
         words = []
 
 
+@lru_cache(100_000)
+def _kind_of_word(word: str) -> str:
+    """Why a capitalised word is no part of a name; empty where it may be one."""
+    if _ORG_WORD.fullmatch(word):
+        return "organisation"
+    if word in STARTERS or word.capitalize() in STARTERS:
+        return "starter"
+    return "title" if _TITLE_WORD.fullmatch(word) and word != "M." else ""
+
+
 def _add_windows(text: str, words: list[tuple[int, int, bool]], out: set[Span]) -> None:
     for i in range(len(words) - 1):
         for n in (2, 3):
@@ -199,26 +252,123 @@ def _add_windows(text: str, words: list[tuple[int, int, bool]], out: set[Span])
                 out.add(Span(NAME, first, own[-1][1]))
 
 
-def _add_han_names(text: str, out: set[Span]) -> None:
-    """A family name and one or two signs at the edges of words, and two or three signs that stand alone."""
-    for m in _HAN_INSIDE.finditer(text):
-        at, given = m.start(), m["given"]
-        if text[at : at + 2] in COMMON_WORDS:
-            continue
-        for n in range(1, len(given) + 1):
-            end = at + 1 + n
-            if (_HAN_STOP.match(text, end) or n == 2) and text[end - 1] not in OBJECT_ENDS:
-                out.add(Span(NAME, at, end))
-    for m in _HAN_ALONE.finditer(text):
-        at, end = m.span(1) if m[1] else m.span()
-        if text[at : at + 2] not in COMMON_WORDS and text[end - 1] not in OBJECT_ENDS:
-            out.add(Span(NAME, at, end))
-        if m[1]:
-            out.add(Span(NAME, at, at + 3))
-    for m in _HONORIFIC.finditer(text):
-        for n in (2, 3):
-            if m.start() >= n and all(map(_IS_HAN.match, text[m.start() - n : m.start()])):
-                out.add(Span(NAME, m.start() - n, m.start()))
+class _Joined:
+    """Texts in one row, a line's end after each, as a string and as arrays. No Han name and none of its features goes beyond a line."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.text = "\n".join([*texts, "\n\n\n"])  # the signs next to a span can be looked at anywhere
+        self.chars, _ = code_points([self.text])
+        self.offsets = np.zeros(len(texts) + 1, dtype=np.int64)
+        np.cumsum([len(t) + 1 for t in texts], out=self.offsets[1:])
+        self.classes = _classes()[self.chars]
+
+    def pairs(self, at: np.ndarray) -> np.ndarray:
+        """The signs at ``at`` and after them as numbers, as ``_pair_codes`` has them."""
+        return self.chars[at].astype(np.int64) << 16 | self.chars[at + 1]
+
+    def within(self, flag: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many signs of a class stand in each stretch, and where the first one from its start on is."""
+        at = np.flatnonzero((self.classes & flag) != 0)
+        first = np.searchsorted(at, start)
+        return np.searchsorted(at, end) - first, np.append(at, len(self.chars))[first]
+
+    def only(self, flag: int, at: np.ndarray, stop: np.ndarray, step: int) -> np.ndarray:
+        """Whether there are signs of a class only from ``at`` on, step by step, until ``stop``, which is near."""
+        out, at, open_ = np.zeros(len(at), dtype=bool), at.copy(), np.arange(len(at))
+        while len(open_):
+            out[open_] = at[open_] == stop[open_]
+            open_ = open_[~out[open_] & ((self.classes[at[open_]] & flag) != 0)]
+            at[open_] += step
+        return out
+
+
+#: Classes of signs, as bits.
+_C_HAN, _C_FAMILY, _C_BEFORE, _C_AFTER, _C_FUNCTION, _C_OBJECT, _C_GIVEN, _C_DOT, _C_PERSON, _C_LEADS, _C_SPACE, _C_ISDIGIT, _C_DIGIT, _C_AT, _C_CUE, _C_LOWER, _C_LINE, _C_UPPER, _C_LEFT, _C_RIGHT = (1 << k for k in range(20))
+#: Signs that NAME_WORDS begin with.
+_CUE_STARTS = "姓联负作编署名人者员师长生NnAaEeRrSsCcFfDdVvPpBbg—–"
+
+
+@cache
+def _classes() -> np.ndarray:
+    """The classes of every code point."""
+    table = np.zeros(0x110000, dtype=np.int32)
+    table[0x4E00:0xA000] = _C_HAN
+    members = {
+        _C_FAMILY: SURNAMES, _C_BEFORE: BEFORE_HAN, _C_AFTER: AFTER_HAN, _C_FUNCTION: _FUNCTION, _C_OBJECT: OBJECT_ENDS, _C_GIVEN: GIVEN_HAN, _C_DOT: "　·•", _C_PERSON: "人者员师长生", _C_LEADS: "据经由被请让给对向找问见与和跟同及",
+        _C_SPACE: (c for c in map(chr, range(0x10000)) if c.isspace()), _C_ISDIGIT: (c for c in map(chr, range(0x20000)) if c.isdigit()), _C_DIGIT: "0123456789０１２３４５６７８９", _C_AT: "@＠", _C_CUE: _CUE_STARTS, _C_LOWER: "abcdefghijklmnopqrstuvwxyz", _C_LEFT: " -*>|—–　", _C_RIGHT: " |　\r", _C_LINE: "\n", _C_UPPER: (c for c in map(chr, range(0x20000)) if c.isupper()),
+    }
+    for flag, signs in members.items():
+        table[[*{*map(ord, signs)}]] |= flag
+    return table
+
+
+@cache
+def _signs() -> np.ndarray:
+    """What _SIGNS has of every code point, and 1 of other space in a line."""
+    table = (_classes() & (_C_SPACE | _C_LINE) == _C_SPACE).astype(np.int8)
+    table[[*map(ord, _SIGNS)]] = [*_SIGNS.values()]
+    return table
+
+
+def _pair_codes(pairs: Iterable[str]) -> np.ndarray:
+    return np.array([ord(a) << 16 | ord(b) for a, b in pairs], dtype=np.int64)
+
+
+_COMMON_CODES = np.sort(_pair_codes(COMMON_WORDS))
+
+
+def _pair_shares(frequent: Mapping[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent pairs of Han signs as sorted numbers, and their shares."""
+    pairs = [w for w in frequent if len(w) == 2 and _IS_HAN.match(w) and _IS_HAN.match(w, 1)]
+    codes, values = _pair_codes(pairs), np.array([frequent[w] for w in pairs], dtype=float)
+    order = np.argsort(codes)
+    return codes[order], values[order]
+
+
+def _share(known: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
+    if not len(known[0]):
+        return np.zeros(len(codes))
+    at = np.minimum(np.searchsorted(known[0], codes), len(known[0]) - 1)
+    return np.where(known[0][at] == codes, known[1][at], 0.0)
+
+
+def _han_names(joined: _Joined) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Han names as the text's index, start and end in it: a family name and one or two signs at the edges of words, and two or
+    three signs that stand alone, or two parts of a name with a sign between them."""
+    cls = joined.classes
+    common = lambda at: np.isin(joined.pairs(at), _COMMON_CODES)
+    is_ = lambda at, flag: (cls[at] & flag) != 0
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    at = np.flatnonzero((cls & _C_FAMILY) != 0)
+    at = at[(cls[at - 1] & (_C_BEFORE | _C_HAN) != _C_HAN) & (cls[at + 1] & (_C_HAN | _C_FUNCTION) == _C_HAN) & ~is_(at + 2, _C_FUNCTION)]
+    at = at[~common(at)]
+    one = at[(cls[at + 2] & (_C_AFTER | _C_HAN) != _C_HAN) & ~is_(at + 1, _C_OBJECT)]
+    two = at[cls[at + 2] & (_C_HAN | _C_OBJECT) == _C_HAN]
+    out += [(one, one + 2), (two, two + 3)]
+    han = is_(slice(None), _C_HAN)
+    edge = np.flatnonzero(han[1:] != han[:-1]) + 1
+    edge = np.concatenate([[0], edge]) if han[0] else edge  # runs of Han signs, first and past the last; the row ends with none
+    first, past = edge[::2], edge[1::2]
+    parted = is_(past, _C_DOT) & han[np.minimum(past + 1, len(han) - 1)]  # a sign and more signs after the run
+    n = past - first
+    alone = (n >= 2) & (n <= 3) & ~parted & ~is_(first - 1, _C_DOT)
+    out.append((first[alone], past[alone]))
+    at = past[parted] - 1
+    whole = at + 3 + han[at + 3]
+    out.append((at, whole))
+    start, end = (np.concatenate([x[k] for x in out[2:]]) for k in (0, 1))
+    kept = ~common(start) & ~is_(end - 1, _C_OBJECT)
+    out[2:] = [(start[kept], end[kept]), (at, at + 3)]
+    titled = [m.start() for m in _HONORIFIC.finditer(joined.text)]
+    for n in (2, 3):
+        own = np.array([k for k in titled if k >= n and han[k - n : k].all()], dtype=np.int64)
+        out.append((own - n, own))
+    spans_ = np.unique(np.concatenate([start << 3 | end - start for start, end in out]).astype(np.int64))
+    start, n = spans_ >> 3, spans_ & 7
+    doc = np.searchsorted(joined.offsets, start, side="right") - 1
+    start = start - joined.offsets[doc]
+    return doc, start, start + n
 
 
 _IS_HAN = re.compile(_HAN)
@@ -236,8 +386,8 @@ def _add_email(text: str, at: int, out: set[Span]) -> None:
         left -= 1
     while left < m.start() and not text[left].isalnum():
         left += 1
-    right = _HOST.match(text, m.end())
-    if left < m.start() and right:
+    right = left < m.start() and _HOST.match(text, m.end())
+    if right:
         out.add(Span(EMAIL, left, right.end()))
 
 
@@ -366,17 +516,15 @@ def features(text: str, span: Span, frequent: Mapping[str, float]) -> list[float
     ``frequent``: pairs of Han signs and capitalised words that stand in many texts, with the per cent of the texts.
     """
     s = text[span.start : span.end]
+    if span.kind == NAME and _IS_HAN.match(s):
+        return _han_features(_Joined([text]), np.array([span.start]), np.array([span.end]), _pair_shares(frequent))[0].tolist()
     line_start = text.rfind("\n", 0, span.start) + 1
     stop = text.find("\n", span.end)
     line_end = stop if stop >= 0 else len(text)
     own = _name_features if span.kind == NAME else _number_features
     line = text[line_start:line_end] if line_end - line_start < 200 else text[max(line_start, span.start - 80) : min(line_end, span.end + 80)]
     f = own(s, text[max(line_start, span.start - 44) : span.start], text[span.end : min(line_end, span.end + 24)], line, span.kind)
-    if span.kind == NAME and _IS_HAN.match(s):
-        pairs = [frequent.get(text[k : k + 2], 0.0) for k in range(max(0, span.start - 1), span.end)]
-        inside = pairs[span.start > 0 : -1]
-        f += [max(inside), min(inside), pairs[0] if span.start else 0.0, pairs[-1]]
-    elif span.kind == NAME:
+    if span.kind == NAME:
         words = [frequent.get(w, 0.0) for w in _CAPITAL.findall(s)] or [0.0]
         f += [words[0], words[-1], max(words), min(words)]
     return [*map(float, f), *[0.0] * (FEATURES - len(f))]
@@ -401,7 +549,7 @@ def _number_features(s: str, left: str, right: str, line: str, kind: int) -> lis
     return f + (_beside(left, right) if kind in (PHONE, ID_NUMBER) else [0] * 6)
 
 
-_CAPITAL = re.compile(rf"(?<!\w)[{_UP}][\w'’-]+")
+_CAPITAL = re.compile(rf"[{_UP}](?<!\w.)[\w'’-]+")  # the set first: the search is faster
 _MOBILE, _EXTENDED, _DOTTED = re.compile(r"(?:\+86 ?|0086)?1[3-9]?\d"), re.compile(r"转|ext|Durchwahl|poste|分机"), re.compile(r"[\d.]+")
 _DATE_LIKE = re.compile(r"\d{4}[-./]\d{1,2}[-./]\d{1,2}(?!\d)|\d{1,2}[./]\d{1,2}[./]\d{4}")
 _TOWN_NEXT, _POSTCODE = re.compile("[市县区省]"), re.compile(r"\d{5} [A-ZÀ-Þ]|[A-Z]{1,2}\d[0-9A-Z]? ?\d[A-Z]{2}")
@@ -424,18 +572,12 @@ def _word_class(word: str) -> int:
 
 
 def _name_features(s: str, left: str, right: str, line: str, kind: int) -> list:
-    han = _IS_HAN.match(s) is not None
     alone_left, alone_right = not left.strip(" -*>|—–　"), not right.strip(" |　\r")
     cue = None
     for cue in _CUE.finditer(left[-24:]):
         pass
-    f = [han, len(s), alone_left, alone_right, "|" in left[-2:], "|" in right[:2], "@" in line or "＠" in line, len(_GROUP_OF_7.findall(line)), len(line)]
+    f = [False, len(s), alone_left, alone_right, "|" in left[-2:], "|" in right[:2], "@" in line or "＠" in line, len(_GROUP_OF_7.findall(line)), len(line)]
     f += [cue.end() - len(left[-24:]) if cue else -40, _SIGNS.get(left[-1:], 1 if left[-1:].isspace() else 0), _SIGNS.get(right[:1], 1 if right[:1].isspace() else 0), bool(_ORG.search(s)), bool(_ORG.search(right[:18])), right[:4].strip()[:1].isdigit()]
-    if han:
-        given = s[1:].strip("　·•")
-        f += [s[0] in SURNAMES, len(given), len(s) - 1 - len(given), sum(c in GIVEN_HAN for c in given), s[:2] in COMMON_WORDS or s[-2:] in COMMON_WORDS, s[-1] in AFTER_HAN, any(c in SURNAMES for c in given)]
-        f += [left[-1:] in BEFORE_HAN if left else -1, left[-1:] in "人者员师长生" if left else -1, left[-1:] in "据经由被请让给对向找问见与和跟同及" if left else -1, bool(left) and _IS_HAN.match(left[-1]) is not None]
-        return [*f, right[:1] in AFTER_HAN if right else -1, bool(right) and _IS_HAN.match(right) is not None, right[:2] in COMMON_WORDS, bool(_HONORIFIC.match(right))]
     words = s.replace(",", "").split(" ")
     before, after = _WORD_LEFT.search(left), _WORD_RIGHT.match(right)
     f += [0] * 15
@@ -444,3 +586,83 @@ def _name_features(s: str, left: str, right: str, line: str, kind: int) -> list:
     f += [left.rstrip()[-1:] in ".!?。！？" or alone_left, len(before[1]) if before else 0]
     # text in capitals throughout
     return [*f, sum(map(str.isupper, left[-20:])) / (1 + sum(map(str.isalpha, left[-20:]))), sum(map(str.isupper, right[:20])) / (1 + sum(map(str.isalpha, right[:20])))]
+
+
+def _han_features(joined: _Joined, start: np.ndarray, end: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Features of Han names, for all spans of the row at once; those that ``_name_features`` has too stand at the same places.
+
+    ``known``: the frequent pairs, as ``_pair_shares`` has them.
+    """
+    x = np.zeros((len(start), FEATURES))
+    if not len(start):
+        return x
+    text, cls, chars = joined.text, joined.classes, joined.chars
+    lines = np.flatnonzero(chars == 10)
+    k = np.searchsorted(lines, start)
+    line_start, line_end = np.where(k > 0, lines[k - 1] + 1, 0), lines[k]
+    before, after = cls[start - 1], cls[end]
+    some_left, some_right = before & _C_LINE == 0, after & _C_LINE == 0
+    bit = lambda c, flag: (c & flag) != 0
+
+    x[:, 0], x[:, 1] = 1, end - start
+    x[:, 2] = joined.only(_C_LEFT, start - 1, np.maximum(line_start, start - 44) - 1, -1)
+    x[:, 3] = joined.only(_C_RIGHT, end, np.minimum(line_end, end + 24), 1)
+    bar = ord("|")
+    x[:, 4] = (chars[start - 1] == bar) | some_left & (chars[start - 2] == bar)
+    x[:, 5] = (chars[end] == bar) | some_right & (chars[end + 1] == bar)
+    wide = line_end - line_start >= 200
+    low, high = np.where(wide, np.maximum(line_start, start - 80), line_start), np.where(wide, np.minimum(line_end, end + 80), line_end)
+    x[:, 6] = joined.within(_C_AT, low, high)[0] > 0
+    numbers: dict[tuple[int, int], int] = {}
+    for i in np.flatnonzero(joined.within(_C_DIGIT, low, high)[0] >= 7).tolist():
+        own = int(low[i]), int(high[i])
+        if own not in numbers:
+            numbers[own] = len(_GROUP_OF_7.findall(text, *own))
+        x[i, 7] = numbers[own]
+    x[:, 8], x[:, 9] = high - low, -40
+    cues, at = joined.within(_C_CUE, np.maximum(line_start, start - 24), start)
+    for i in np.flatnonzero(cues).tolist():
+        cue, to = None, int(start[i])
+        for cue in _CUE.finditer(text, int(at[i]), to):
+            pass
+        if cue:
+            x[i, 9] = cue.end() - to
+    signs = _signs()
+    x[:, 10], x[:, 11] = signs[chars[start - 1]], signs[chars[end]]
+    to = np.minimum(line_end, end + 18)
+    for i in np.flatnonzero(joined.within(_C_LOWER, end, to)[0] >= 2).tolist():
+        x[i, 13] = bool(_ORG.search(text[end[i] : to[i]]))
+    near, open_ = np.zeros(len(start), dtype=bool), np.ones(len(start), dtype=bool)
+    for n in range(4):  # the first sign after space
+        open_ &= end + n < line_end
+        c = cls[np.minimum(end + n, line_end)]
+        near |= open_ & bit(c, _C_ISDIGIT)
+        open_ &= bit(c, _C_SPACE)
+    x[:, 14] = near
+
+    parted = bit(cls[start + 1], _C_DOT)
+    x[:, 15], x[:, 16], x[:, 17] = bit(cls[start], _C_FAMILY), end - start - 1 - parted, parted
+    for n in range(1, int((end - start).max())):
+        c = np.where(start + n < end, cls[np.minimum(start + n, end)], 0)
+        x[:, 18] += bit(c, _C_GIVEN)
+        x[:, 21] += bit(c, _C_FAMILY)
+    x[:, 21] = x[:, 21] > 0
+    x[:, 19] = np.isin(joined.pairs(start), _COMMON_CODES) | np.isin(joined.pairs(end - 2), _COMMON_CODES)
+    x[:, 20] = bit(cls[end - 1], _C_AFTER)
+    for n, flag in ((22, _C_BEFORE), (23, _C_PERSON), (24, _C_LEADS)):
+        x[:, n] = np.where(some_left, bit(before, flag), -1)
+    x[:, 25] = bit(before, _C_HAN)
+    x[:, 26], x[:, 27] = np.where(some_right, bit(after, _C_AFTER), -1), bit(after, _C_HAN)
+    x[:, 28], x[:, 29] = np.isin(joined.pairs(end), _COMMON_CODES), np.isin(joined.pairs(end), _HONORIFIC_CODES)
+
+    x[:, 31] = np.inf
+    for n in range(int((end - start).max()) - 1):
+        there = start + n + 1 < end
+        share = _share(known, joined.pairs(start + n))
+        x[:, 30] = np.where(there, np.maximum(x[:, 30], share), x[:, 30])
+        x[:, 31] = np.where(there, np.minimum(x[:, 31], share), x[:, 31])
+    x[:, 32], x[:, 33] = _share(known, joined.pairs(start - 1)), _share(known, joined.pairs(end - 1))
+    return x
+
+
+_HONORIFIC_CODES = np.sort(_pair_codes(_HONORIFIC.pattern.split("|")))
